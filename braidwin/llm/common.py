@@ -132,13 +132,37 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and where each text's words begin (one more entry than texts).
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one array, its words' starts and ends, and where each text's words begin (one more entry than texts).
 
     Words are runs of ASCII letters and digits and of bytes over 127; A-Z count as a-z.
     """
-    joined = b" ".join(texts).translate(WORD_TABLE)
-    buf = np.frombuffer(joined, np.uint8)
+    buf = np.frombuffer(b" ".join(texts).translate(WORD_TABLE), np.uint8)
     starts, ends = spans(buf != 32)
     first = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
-    return span_hashes(buf, starts, ends), np.searchsorted(starts, first)
+    return buf, starts, ends, np.searchsorted(starts, first)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and where each text's words begin."""
+    buf, starts, ends, cuts = word_spans(texts)
+    return span_hashes(buf, starts, ends), cuts
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The groups of equal ``key`` (no nulls) of a partition that is sorted by it, each whole; one group at a time is kept."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if rest and keys[lo] != last:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            last = keys[lo]
+            rest.append(batch.slice(lo, hi - lo))
+    if rest:
+        yield pa.Table.from_batches(rest)

@@ -1,6 +1,7 @@
 """Toxicity: a second-order factorization machine over hashed terms.
 
-A text is the set of its words (as in ``common.word_hashes``), each a 64-bit hash. The score is the logistic function of
+A text is the set of its words (as in ``common.word_spans``) and of the first 5, 6 and 7 bytes of longer words (a stem
+tells of forms that no learned text has), each a 64-bit hash. The score is the logistic function of
 ``b + sum(w_i) + 1/2 * sum_f((sum v_if)**2 - sum v_if**2)`` over the terms that the model knows: the weights ``w`` rate
 single terms, the products of the factors ``v`` rate pairs that only together are toxic (an insult beside the mention of
 a group), which no additive weight can. Trained in numpy: the weights by follow-the-regularised-leader steps, whose L1 pull
@@ -16,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from braidwin.llm.common import text_chunks, with_columns, word_hashes
+from braidwin.llm.common import mix, span_hashes, text_chunks, with_columns, word_spans
 from braidwin.llm.quality import labelled
 
 FACTORS = 6
+STEMS = (5, 6, 7)
 #: Terms that fewer of the learned texts have are not looked at.
 MIN_DOCS = 4
 EPOCHS, RATE, L1, L2 = 10, 5.0, 30.0, 1.0
@@ -29,9 +31,22 @@ MAX_TRAIN_PER_CLASS = 3000
 THRESHOLD = 0.7
 
 
+def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of all texts, and the number of the text that each belongs to."""
+    buf, starts, ends, cuts = word_spans(texts)
+    of = np.repeat(np.arange(len(texts)), np.diff(cuts))
+    h, owner = [span_hashes(buf, starts, ends)], [of]
+    for size in STEMS:
+        long = np.flatnonzero(ends - starts > size)
+        h.append(mix(span_hashes(buf, starts[long], starts[long] + size) + np.uint64(size)))
+        owner.append(of[long])
+    return np.concatenate(h), np.concatenate(owner)
+
+
 def _term_sets(texts: list[bytes]) -> list[np.ndarray]:
-    h, cuts = word_hashes(texts)
-    return [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    h, of = term_hashes(texts)
+    by_text = np.split(h[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(texts)))[:-1])
+    return [np.unique(x) for x in by_text]
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,12 +68,10 @@ class Model:
         known = np.flatnonzero(self.terms[at] == h)
         return known, at[known]
 
-    def margins(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """The score before the logistic function for each text, whose words' hashes are h[cuts[i]:cuts[i + 1]]."""
-        n = len(cuts) - 1
+    def margins(self, h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """The score before the logistic function for each of n texts; ``of`` tells which text a term's hash belongs to."""
         known, row = self.rows(h)
-        of = np.searchsorted(cuts, known, side="right") - 1
-        once = np.unique(of * np.int64(len(self.terms) + 1) + row)  # a term counts once a text
+        once = np.unique(of[known] * np.int64(len(self.terms) + 1) + row)  # a term counts once a text
         of, row = once // (len(self.terms) + 1), once % (len(self.terms) + 1)
         z = np.bincount(of, weights=self.w[row], minlength=n) + self.b
         for f in range(self.v.shape[1]):
@@ -117,7 +130,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch, texts in text_chunks(batches, text):
-            score = 1 / (1 + np.exp(-np.clip(own.margins(*word_hashes(texts)), -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(own.margins(*term_hashes(texts), len(texts)), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(scored, with_columns(docs, score="double", predicted="integer"))
