@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwin.llm import decontaminate, packing, quality, token_counts, toxicity
+from braidwin.llm import decontaminate, fingerprints, packing, quality, secret_scan, token_counts, toxicity, url_filter
 from braidwin.llm.common import held_out, table
 
 
@@ -21,6 +21,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprints.as_text("sketch").alias("fingerprint"), fingerprints.as_text("edited_sketch").alias("edited_fingerprint"),
+        fingerprints.likeness("sketch", "edited_sketch").alias("near_edited"), fingerprints.likeness("sketch", "next_sketch").alias("near_next"), fingerprints.containment("sketch", "edited_sketch").alias("kept_part"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    n = [F.size(F.array_compact(F.transform(kinds, lambda x: F.when(x == F.lit(i), x)))).cast("long").alias(f"n_{k[0]}") for i, k in enumerate(secret_scan.KINDS)]  # noqa: B023
+    return found.select("doc_id", *n, F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.concat("base", "extra")).alias("spans"), "n_live", "n_example")
+
+
+#: (verdict, host, path)
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "aliases")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))

@@ -25,7 +25,7 @@ from braidwin.llm.common import text_chunks, with_columns
 RULES = ("start", "majority", "share")
 CACHE_CHUNKS = 200_000
 #: The characters of Unicode's White_Space property.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: White space and the black characters after it: the encoding's own splitting never looks past the end of such a chunk.
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ENCODERS: dict[str, tuple] = {}
