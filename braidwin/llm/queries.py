@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwin.llm import decontaminate, fingerprints, packing, quality, secret_scan, token_counts, toxicity, url_filter
+from braidwin.llm import decontaminate, fingerprints, ngram_join, packing, quality, secret_scan, token_counts, toxicity, url_filter
 from braidwin.llm.common import held_out, table
 
 
@@ -44,6 +44,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "aliases")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
