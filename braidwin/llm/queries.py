@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwin.llm import decontaminate, fingerprints, ngram_join, packing, quality, secret_scan, token_counts, toxicity, url_filter
+from braidwin.llm import decontaminate, fingerprints, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, toxicity, url_filter
 from braidwin.llm.common import held_out, table
 
 
@@ -17,6 +17,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
