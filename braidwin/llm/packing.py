@@ -11,9 +11,13 @@ largest load of one to the smallest of the other, until one is left. If its larg
 
 from __future__ import annotations
 
+import gc
 import heapq
+import os
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,8 @@ WINDOW = 4096
 BUCKET = 2048
 FILLER, FILLER_ONE_IN = 32, 64
 END_ID = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
+PUNCTUATION = string.punctuation.encode()
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -36,28 +41,57 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(path: str, texts: list[bytes]) -> Iterator[bytes]:
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word as letters and the ASCII punctuation after them, which the tokenizer splits and encodes apart; else the word alone.
+
+    Of the letters A-Z are lower-cased, as the tokenizer does, so one entry serves all of a word's forms.
+    """
+    stem = word.rstrip(PUNCTUATION)
+    if len(stem) == len(word) or not stem.decode(errors="replace").isalpha():
+        return word.lower(), b""
+    return stem.lower(), word[len(stem) :]
+
+
+def encode(path: str, texts: list[bytes]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token or rule of it looks past any, so the ids of a text are those of its
-    white-space separated words one after the other; a worker keeps those of the words that it has met lately.
+    white-space separated words one after the other. A worker keeps those of CACHE_WORDS words at most, for good those of
+    the first half, as frequent words come early.
     """
     if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _TOKENIZERS[path]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
+        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {b"": b""})
+    tokenizer, cache, stems = _TOKENIZERS[path]
+    found, holes, new = [], [], {}
     for text in texts:
-        words = text.split()
-        try:
-            yield b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode(errors="replace") for w in new], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(cache.__getitem__, words))
+        w = text.split()
+        ids = list(map(cache.get, w))
+        at, own = -1, []
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            own.append((at, w[at]))
+        found.append(ids)
+        holes.append(own)
+        new.update(dict.fromkeys(word for _, word in own))
+    for word in new:
+        new[word] = _parts(word)
+    unknown = list({x for pair in new.values() for x in pair} - stems.keys())
+    for i in range(0, len(unknown), 4096):
+        part = unknown[i : i + 4096]
+        for x, e in zip(part, tokenizer.encode_batch_fast([x.decode(errors="replace") for x in part], add_special_tokens=False), strict=True):
+            stems[x] = np.array(e.ids, "<u4").tobytes()
+    for word, (stem, tail) in new.items():
+        new[word] = stems[stem] + stems[tail] if tail else stems[stem]
+    for ids, own in zip(found, holes, strict=True):
+        for at, word in own:
+            ids[at] = new[word]
+    cache.update(new)
+    if len(cache) + len(stems) > CACHE_WORDS:
+        _TOKENIZERS[path] = (tokenizer, dict(islice(cache.items(), CACHE_WORDS // 4)), dict(islice(stems.items(), CACHE_WORDS // 4)))
+    return list(map(b"".join, found))
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -128,7 +162,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, text: str = "text", wi
         for batch, texts in text_chunks(batches, text):
             rows = batch.column("_row").to_pylist()
             of, found, ids = [], [], []
-            for i, encoded in enumerate(encode(path, texts)):
+            gc.disable()  # the many words are no cycles, but make the collector look through the cache again and again
+            try:
+                every = encode(path, texts)
+            finally:
+                gc.enable()
+            for i, encoded in enumerate(every):
                 encoded += end
                 n = len(encoded) // 4
                 at = _cuts(n, window, rows[i] % FILLER_ONE_IN == 0)
