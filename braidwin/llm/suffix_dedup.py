@@ -31,8 +31,6 @@ MIN = 400
 GRAM = 32
 #: Distinct segments of an anchor that one task compares; bytes of segments that share a suffix array.
 HOT, ARRAY_BYTES = 1500, 1 << 20
-#: Segments to be cut, up to which they are sent to the documents rather than the documents to them.
-SEND_ROWS = 300_000
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -236,9 +234,6 @@ def spans(docs: DataFrame, text: str = "text", length: int = MIN, keep_first: bo
 def _cut(rows: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """(h, seg, n, d, doc, key, lo, bytes): one segment of each kind, cut from its document."""
     by_doc = reps.groupBy(F.col("rep.doc_id").alias("_d"), F.col("rep.key").alias("_k")).agg(F.collect_list(F.struct("h", "seg", "n", "d", F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"))).alias("cuts"))
-    by_doc = written(by_doc, "cuts")
-    if reps.limit(SEND_ROWS + 1).count() <= SEND_ROWS:
-        by_doc = F.broadcast(by_doc)
     wanted = rows.join(by_doc, (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k")))
     each = wanted.select("text", F.col("doc_id").alias("doc"), "key", F.explode("cuts").alias("c")).select("c.h", "c.seg", "c.n", "c.d", "doc", "key", "c.lo", F.expr(f"substring(text, c.lo + 1, c.hi - c.lo + {length})").alias("bytes"))
     return each
