@@ -16,6 +16,7 @@ import heapq
 import os
 import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from braidwin.llm.common import grouped, shuffle_partitions, text_chunks, with_columns, written
 
 WINDOW = 4096
-BUCKET = 2048
-FILLER, FILLER_ONE_IN = 32, 64
+BUCKET = 1024
+FILLER, FILLER_ONE_IN = 32, 48
 END_ID = 2
-CACHE_WORDS = 1_200_000
+#: Bytes of text whose new words are encoded together.
+ENCODE_BYTES = 4 << 20
+CACHE_WORDS = 1_600_000
 PUNCTUATION = string.punctuation.encode()
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -63,8 +66,9 @@ def encode(path: str, texts: list[bytes]) -> list[bytes]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {b"": b""})
-    tokenizer, cache, stems = _TOKENIZERS[path]
+        tokenizer = Tokenizer.from_file(path)
+        _TOKENIZERS[path] = (tokenizer, tokenizer.model, {}, {b"": b""})
+    tokenizer, model, cache, stems = _TOKENIZERS[path]
     found, holes, new = [], [], {}
     for text in texts:
         w = text.split()
@@ -78,7 +82,11 @@ def encode(path: str, texts: list[bytes]) -> list[bytes]:
         new.update(dict.fromkeys(word for _, word in own))
     for word in new:
         new[word] = _parts(word)
-    unknown = list({x for pair in new.values() for x in pair} - stems.keys())
+    unknown = {x for pair in new.values() for x in pair} - stems.keys()
+    # Nothing is normalised, split or mapped in a word of a-z alone: the merges are all there is to do.
+    for x in [x for x in unknown if x.isalpha()]:
+        stems[x] = array("I", [t.id for t in model.tokenize(x.decode())]).tobytes()
+    unknown = [x for x in unknown if not x.isalpha()]
     for i in range(0, len(unknown), 4096):
         part = unknown[i : i + 4096]
         for x, e in zip(part, tokenizer.encode_batch_fast([x.decode(errors="replace") for x in part], add_special_tokens=False), strict=True):
@@ -90,7 +98,7 @@ def encode(path: str, texts: list[bytes]) -> list[bytes]:
             ids[at] = new[word]
     cache.update(new)
     if len(cache) + len(stems) > CACHE_WORDS:
-        _TOKENIZERS[path] = (tokenizer, dict(islice(cache.items(), CACHE_WORDS // 4)), dict(islice(stems.items(), CACHE_WORDS // 4)))
+        _TOKENIZERS[path] = (tokenizer, model, dict(islice(cache.items(), CACHE_WORDS // 4)), dict(islice(stems.items(), CACHE_WORDS // 4)))
     return list(map(b"".join, found))
 
 
@@ -159,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, text: str = "text", wi
     keep = [c for c in docs.columns if c != text]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, text):
+        for batch, texts in text_chunks(batches, text, ENCODE_BYTES):
             rows = batch.column("_row").to_pylist()
             of, found, ids = [], [], []
             gc.disable()  # the many words are no cycles, but make the collector look through the cache again and again
