@@ -45,11 +45,12 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 def write_dump(df: DataFrame, path: str) -> None:
     """One line a row, ``seconds.nanoseconds key payload`` (nine digits of nanoseconds), in files whose names are in the order of time.
 
-    Every file begins with the header ``#TS, KEY, VAL``.
+    The first file begins with the header ``#TS, KEY, VAL``.
     """
     ns = F.pmod("ts", F.lit(1_000_000_000).cast("long"))
     line = F.concat_ws(" ", F.concat(F.floor(F.col("ts") / 1_000_000_000).cast("string"), F.lit("."), F.lpad(ns.cast("string"), 9, "0")), F.col("key").cast("string"), F.col("payload").cast("string"))
-    df.orderBy("pos").select(line.alias("#TS, KEY, VAL")).write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\x01").csv(path)
+    head = df.sparkSession.range(1).select(F.lit("#TS, KEY, VAL").alias("value"), F.lit(-1).cast("long").alias("pos"))
+    df.select(line.alias("value"), "pos").unionByName(head).orderBy("pos").select("value").write.mode("overwrite").text(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

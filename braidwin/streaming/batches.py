@@ -45,7 +45,10 @@ class BatchJoin:
         # Rows that fill the window are old when they come; what they push out of it was there before.
         low = {side: seen.get(side, 0) - self.window[side] for side in "RS"}
         r, s = (rows.where((F.col("side") == side) & (F.col("fresh") | (F.col("pos") >= low[side]))).drop("side") for side in "RS")
-        self.joined(r, s).withColumn("k", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{self.out}/batch={k}")
+        result = self.joined(r, s)
+        if self.mode == "snapshot" and not rows.where("fresh").limit(1).count():
+            result = result.limit(0)  # only the windows were filled
+        result.withColumn("k", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{self.out}/batch={k}")
         n = {x.side: x.n for x in rows.groupBy("side").agg((F.max("pos") + 1).alias("n")).collect()}
         keep = F.when(F.col("side") == "R", F.col("pos") >= n.get("R", 0) - self.window["R"]).otherwise(F.col("pos") >= n.get("S", 0) - self.window["S"])
         rows.where(keep).drop("fresh").write.mode("overwrite").parquet(f"{self.state}/{k}")
