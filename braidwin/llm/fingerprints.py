@@ -73,12 +73,12 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> Dat
     rows = [(r, first, firsts[k - 1][0]) for k, (r, first) in enumerate(firsts)]
     own = docs.withColumn("_range", at)
     if rows:
-        known = docs.sparkSession.createDataFrame(rows, "r int, first long, before int")
-        own = own.join(F.broadcast(known), (F.col("_range") == F.col("r")) & F.col(id_col).eqNullSafe(F.col("first")), "left").drop("r", "first")
+        known = docs.sparkSession.createDataFrame(rows, "_r int, _first long, _before int")
+        own = own.join(F.broadcast(known), (F.col("_range") == F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_first")), "left").drop("_r", "_first")
     else:
-        own = own.withColumn("before", F.lit(None).cast("int"))
-    dealt = own.withColumn("_to", F.explode(F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("r"), F.lit(True).alias("ghost")))))))
-    dealt = dealt.withColumns({"_range": F.col("_to.r"), "_ghost": F.col("_to.ghost")}).drop("_to", "before")
+        own = own.withColumn("_before", F.lit(None).cast("int"))
+    dealt = own.withColumn("_to", F.explode(F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("r"), F.lit(True).alias("ghost")))))))
+    dealt = dealt.withColumns({"_range": F.col("_to.r"), "_ghost": F.col("_to.ghost")}).drop("_to", "_before")
     order = Window.partitionBy("_range").orderBy("_ghost", F.col(id_col).desc_nulls_last(), F.col(tie).desc())
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_ghost")).drop("_range", "_ghost")
 

@@ -217,12 +217,12 @@ def similar(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, t
     """
     k = depth(threshold, trees, recall=recall)
     every = written(_sets(docs, text, trees, k), "sets")
-    sets = every.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = every.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("rep"), F.min("doc_id").alias("copy_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = written(sets, "distinct")
     found = written(_verified(docs, text, sets, _candidates(sets, trees, k, threshold), threshold), "links")
     classes = components(found.where("set != peer").select(F.col("set").alias("a"), F.col("peer").alias("b")))
     links = found.groupBy("set").agg(F.sum("links").alias("links")).where("links > 0")
-    known = sets.select("set", "copies", F.col("rep.doc_id").alias("copy_id")).join(links, "set", "left").where("copies > 1 or links > 0")
+    known = sets.select("set", "copies", "copy_id").join(links, "set", "left").where("copies > 1 or links > 0")
     known = known.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     known = written(known.join(least, "root").drop("root"), "classes")

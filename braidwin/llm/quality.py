@@ -25,7 +25,7 @@ DIM = 8
 EPOCHS, RATE, BOOST = 8, 0.3, 50
 GRAMS = (3, 4, 5)
 #: At most so many labelled rows of each class are learned from, the first in the order of a hash of doc_id.
-MAX_TRAIN_PER_CLASS = 2000
+MAX_TRAIN_PER_CLASS = 1200
 _SPACES = bytes(32 if c in b" \t\n\r\x0b\x0c\x00" else c for c in range(256))
 
 

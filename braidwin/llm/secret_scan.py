@@ -113,10 +113,10 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
 
     Only documents with spans are looked up; texts are shuffled only if these are too many to broadcast. Null texts stay null.
     """
-    spans = scan(docs, text, owner, repository).select("doc_id", "key", F.concat("base", "extra").alias("spans")).where(F.size("spans") > 0).distinct()
+    spans = scan(docs, text, owner, repository).select("doc_id", "key", F.concat("base", "extra").alias("_spans")).where(F.size("_spans") > 0).distinct()
     spans = written(spans.withColumns({"_d": F.col("doc_id"), "_k": F.col("key")}).drop("doc_id", "key"), "spans")
     rows = docs.withColumn("_key", text_key(text)).join(small(spans), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    rows = rows.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("spans"))))
+    rows = rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_spans"))))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return rows.select(docs.columns)

@@ -65,12 +65,12 @@ def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]], host_col:
             parts += [F.when(fits & F.col(path_col).startswith(p), F.struct(F.lit(n).alias("n"), F.lit(allow).alias("allow"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))) for n, allow, rule, verdict, p in own]
         best = F.array_max(F.array_compact(F.array(*parts))) if parts else F.lit(None).cast("struct<rule:string,verdict:string>")
         return urls.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.verdict")}).drop("_best")
-    table = spark.createDataFrame(list(rules), "verdict string, h string, p string").selectExpr("h", rank + " as r")
+    table = spark.createDataFrame(list(rules), "verdict string, h string, p string").selectExpr("h as _s", rank + " as _r")
     # Decided once for each distinct host and path, of which many rows may have the same.
     keys = urls.select(F.col(host_col).alias("_h"), F.col(path_col).alias("_p")).distinct()
-    hits = keys.withColumn("h", F.explode(_suffixes(F.col("_h")))).join(table, "h").where(F.col("_p").startswith(F.col("r.p"))).groupBy("_h", "_p").agg(F.max("r").alias("r"))
+    hits = keys.withColumn("_s", F.explode(_suffixes(F.col("_h")))).join(table, "_s").where(F.col("_p").startswith(F.col("_r.p"))).groupBy("_h", "_p").agg(F.max("_r").alias("_r"))
     out = urls.join(hits, (F.col(host_col) == F.col("_h")) & (F.col(path_col) == F.col("_p")), "left")
-    return out.withColumns({"rule": F.col("r.rule"), "rule_verdict": F.col("r.verdict")}).drop("_h", "_p", "r")
+    return out.withColumns({"rule": F.col("_r.rule"), "rule_verdict": F.col("_r.verdict")}).drop("_h", "_p", "_r")
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     ends = with_rules(ends, rules).select(node(F.col("url")).alias("node"), "rule_verdict").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A component's verdict is combined before the shuffle, so the size of a component does not matter.
     by_root = ends.groupBy("root").agg(F.max(F.when(F.col("rule_verdict") == "allow", 2).when(F.col("rule_verdict") == "block", 1).otherwise(0)).alias("_found"))
-    by_node = written(ends.select("node", "root").distinct().join(by_root, "root").where("_found > 0").select("node", "_found"), "verdicts")
-    out = seen.join(small(by_node), F.col("_node") == F.col("node"), "left")
+    by_node = written(ends.select("node", "root").distinct().join(by_root, "root").where("_found > 0").select(F.col("node").alias("_end"), "_found"), "verdicts")
+    out = seen.join(small(by_node), F.col("_node") == F.col("_end"), "left")
     alias = F.when(F.col("_found") == 2, F.lit("allow")).when(F.col("_found") == 1, F.lit("block"))
-    return out.withColumns({"verdict": F.coalesce("rule_verdict", alias, F.lit("allow")), "aliases": F.col("rule_verdict").isNull() & alias.isNotNull()}).drop("_node", "node", "_found", "targets", "rule_verdict")
+    return out.withColumns({"verdict": F.coalesce("rule_verdict", alias, F.lit("allow")), "aliases": F.col("rule_verdict").isNull() & alias.isNotNull()}).drop("_node", "_end", "_found", "targets", "rule_verdict")
