@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker looks at together (one longer text is looked at alone).
 CHUNK_BYTES = 2 << 20
+#: Rows and bytes of a batch between Spark and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,18 @@ def with_columns(df: DataFrame, **types: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in types.items())])
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size: rows may be long texts, of which both sides hold a batch in memory.
+
+    This lowers the session's limits of a batch, where they are higher; results do not depend on them.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes together, or of one row."""
     lo, total = 0, 0

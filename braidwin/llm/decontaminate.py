@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import WORD_TABLE, text_chunks, text_key, with_columns
+from braidwin.llm.common import WORD_TABLE, map_batches, text_chunks, text_key, with_columns
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -133,7 +133,7 @@ def _matches(docs: DataFrame, index: TestIndex, text: str) -> DataFrame:
             items = [sorted(set(x)) for x in items]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(runs, spans_type), pa.array(items, pa.list_(pa.string())), *(pa.array([b[i] for b in best], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], names=[*batch.schema.names, *_COLUMNS])
 
-    return docs.mapInArrow(matched, with_columns(docs, **_COLUMNS))
+    return map_batches(docs, matched, with_columns(docs, **_COLUMNS))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

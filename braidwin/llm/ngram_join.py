@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import grouped, mix, shuffle_partitions, small, text_chunks, text_key, with_columns, word_hashes, written
+from braidwin.llm.common import grouped, map_batches, mix, shuffle_partitions, small, text_chunks, text_key, with_columns, word_hashes, written
 from braidwin.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, text: str, trees: int, k: int) -> DataFrame:
             ], names=["doc_id", "key", "set", "n", "sig"])
 
     rows = docs.select("doc_id", text_key(text).alias("key"), text)
-    return rows.mapInArrow(found, with_columns(rows.select("doc_id", "key"), set="binary", n="bigint", sig="binary"))
+    return map_batches(rows, found, with_columns(rows.select("doc_id", "key"), set="binary", n="bigint", sig="binary"))
 
 
 def _candidates(sets: DataFrame, trees: int, k: int, threshold: float) -> DataFrame:
@@ -145,7 +145,7 @@ def _candidates(sets: DataFrame, trees: int, k: int, threshold: float) -> DataFr
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt.select("g", "set", "sig").repartition(parts, "g").sortWithinPartitions("g", "set").mapInArrow(families, "a binary, b binary")
+    return map_batches(dealt.select("g", "set", "sig").repartition(parts, "g").sortWithinPartitions("g", "set"), families, "a binary, b binary")
 
 
 def compare(sets: list[np.ndarray], block: np.ndarray, two: bool, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def _verified(docs: DataFrame, text: str, sets: DataFrame, edges: DataFrame, thr
             hashes = pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set", "copies", "root", "blocks")), hashes], names=["set", "copies", "root", "blocks", "hashes"])
 
-    dealt = rows.mapInArrow(shingled, "set binary, copies long, root binary, blocks long, hashes binary")
+    dealt = map_batches(rows, shingled, "set binary, copies long, root binary, blocks long, hashes binary")
     dealt = dealt.select("set", "copies", "hashes", _blocks(F.col("root"), F.col("blocks"), F.col("set")).alias("p")).select("set", "copies", "hashes", "p.*")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def _verified(docs: DataFrame, text: str, sets: DataFrame, edges: DataFrame, thr
             yield pa.RecordBatch.from_pydict({"set": pa.array(keys, pa.binary()), "links": pa.array(total), "peer": pa.array([keys[r] for r in root.tolist()], pa.binary())})
 
     parts = 4 * shuffle_partitions(docs.sparkSession)
-    return dealt.repartition(parts, "g").sortWithinPartitions("g", "set").mapInArrow(compared, "set binary, links long, peer binary")
+    return map_batches(dealt.repartition(parts, "g").sortWithinPartitions("g", "set"), compared, "set binary, links long, peer binary")
 
 
 def similar(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import grouped, shuffle_partitions, text_chunks, with_columns, written
+from braidwin.llm.common import grouped, map_batches, shuffle_partitions, text_chunks, with_columns, written
 
 WINDOW = 4096
 BUCKET = 1024
@@ -33,7 +33,7 @@ FILLER, FILLER_ONE_IN = 32, 48
 END_ID = 2
 #: Bytes of text whose new words are encoded together.
 ENCODE_BYTES = 4 << 20
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 800_000
 PUNCTUATION = string.punctuation.encode()
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -51,7 +51,8 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
     """
     stem = word.rstrip(PUNCTUATION)
     if len(stem) == len(word) or not stem.decode(errors="replace").isalpha():
-        return word.lower(), b""
+        low = word.lower()
+        return (word if low == word else low), b""  # one object for both tables
     return stem.lower(), word[len(stem) :]
 
 
@@ -192,7 +193,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, text: str = "text", wi
             yield pa.RecordBatch.from_arrays([*taken.columns, *arrays], names=[*keep, *_PIECE, *["ids"] * with_ids])
 
     schema = with_columns(docs.select(keep), **_PIECE, **({"ids": "array<int>"} if with_ids else {}))
-    return docs.mapInArrow(cut, schema)
+    return map_batches(docs, cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -229,4 +230,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", wind
 
     # A bucket is some thousand small rows, whatever the size of the table.
     sorted_ = dealt.repartition(min(buckets, max(shuffle_partitions(spark), buckets // 64)), "_bucket").sortWithinPartitions("_bucket", "_row", "start")
-    return sorted_.mapInArrow(packed, schema)
+    return map_batches(sorted_, packed, schema)

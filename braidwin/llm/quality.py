@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import held_out, mix, span_hashes, spans, text_chunks, text_of, with_columns
+from braidwin.llm.common import held_out, map_batches, mix, span_hashes, spans, text_chunks, text_of, with_columns
 
 BITS = 18
 DIM = 8
 EPOCHS, RATE, BOOST = 8, 0.3, 50
 GRAMS = (3, 4, 5)
+#: Bytes of text whose features are made together: each takes some hundred bytes for a moment.
+FEATURE_BYTES = 1 << 20
 #: At most so many labelled rows of each class are learned from, the first in the order of a hash of doc_id.
 MAX_TRAIN_PER_CLASS = 1200
 _SPACES = bytes(32 if c in b" \t\n\r\x0b\x0c\x00" else c for c in range(256))
@@ -69,7 +71,7 @@ def _recency(words: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in text_chunks(batches):
+    for batch, texts in text_chunks(batches, limit=FEATURE_BYTES):
         ids, owner = features(texts)
         order = np.argsort(owner, kind="stable")
         ids, cuts = ids[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
@@ -126,7 +128,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = MAX_TRAIN_PER_CLASS) -> tuple[np.ndarray, float]:
-    rows = labelled(docs, labels, label, per_class).mapInArrow(_bags, "ord long, label int, ids binary, counts binary").collect()
+    rows = map_batches(labelled(docs, labels, label, per_class), _bags, "ord long, label int, ids binary, counts binary").collect()
     bags = []
     for r in sorted(rows, key=lambda r: (r.ord, r.ids)):
         counts = np.frombuffer(r.counts, np.int32)
@@ -144,11 +146,11 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = sent.value
-        for batch, texts in text_chunks(batches, text):
+        for batch, texts in text_chunks(batches, text, FEATURE_BYTES):
             ids, owner = features(texts)
             n = np.bincount(owner, minlength=len(texts))
             z = np.bincount(owner, weights=weight[ids], minlength=len(texts)) / np.maximum(n, 1) + bias
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(scored, with_columns(docs, score="double", predicted="integer"))
+    return map_batches(docs, scored, with_columns(docs, score="double", predicted="integer"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import chunks, grouped, shuffle_partitions, small, span_hashes, text_key, text_of, with_columns, written
+from braidwin.llm.common import chunks, grouped, map_batches, shuffle_partitions, small, span_hashes, text_key, text_of, with_columns, written
 
 MIN = 400
 GRAM = 32
@@ -88,7 +88,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 ids = batch.slice(a, b - a).select(["doc_id", "key"]).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(h), pa.array(seg, pa.binary())], names=["doc_id", "key", "lo", "hi", "h", "seg"])
 
-    return docs.mapInArrow(found, with_columns(docs.select("doc_id", "key"), lo="int", hi="int", h="bigint", seg="binary"))
+    return map_batches(docs, found, with_columns(docs.select("doc_id", "key"), lo="int", hi="int", h="bigint", seg="binary"))
 
 
 def ranks(buf: np.ndarray, length: int) -> np.ndarray:
@@ -170,7 +170,7 @@ def _compared(cut: DataFrame, length: int, parts: int) -> DataFrame:
         if kept:
             yield judged(pa.concat_tables(kept))
 
-    return cut.repartition(parts, "h").sortWithinPartitions("h", "seg").mapInArrow(compared, f"h long, seg binary, runs {_RUNS}")
+    return map_batches(cut.repartition(parts, "h").sortWithinPartitions("h", "seg"), compared, f"h long, seg binary, runs {_RUNS}")
 
 
 def _counted(cut: DataFrame, length: int) -> DataFrame:
@@ -184,7 +184,7 @@ def _counted(cut: DataFrame, length: int) -> DataFrame:
                 row = batch.slice(i, 1).select(["h", "seg", "n", "doc", "key", "lo"]).take(pa.array(np.zeros(n, np.int64)))
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array(np.arange(n, dtype=np.int32)), pa.array([hashlib.blake2b(piece[j : j + length], digest_size=16).digest() for j in range(n)], pa.binary())], names=["h", "seg", "n", "doc", "key", "lo", "a", "digest"])
 
-    each = cut.dropDuplicates(["h", "seg"]).mapInArrow(digests, "h long, seg binary, n long, doc long, key long, lo int, a int, digest binary")
+    each = map_batches(cut.dropDuplicates(["h", "seg"]), digests, "h long, seg binary, n long, doc long, key long, lo int, a int, digest binary")
     each = written(each.withColumn("place", F.struct("doc", "key", "lo")).drop("doc", "key", "lo"), "strings")
     twice = each.groupBy("digest").agg(F.sum("n").alias("n"), F.min("place").alias("least")).where("n > 1").drop("n")
     runs = F.struct("a", F.col("a").alias("b"), (F.col("place") == F.col("least")).alias("first"))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from braidwin.llm.common import text_chunks, with_columns
+from braidwin.llm.common import map_batches, text_chunks, with_columns
 
 RULES = ("start", "majority", "share")
 CACHE_CHUNKS = 200_000
@@ -133,4 +133,4 @@ def token_counts(docs: DataFrame, ranks: str | None = None, text: str = "text",
             arrays = [pa.array(np.concatenate(x).astype(np.float64 if i == 3 else np.int64)) for i, x in enumerate(zip(*parts, strict=True))]
             yield pa.RecordBatch.from_arrays([*taken.columns, *arrays], names=[*keep, *_COLUMNS])
 
-    return docs.mapInArrow(counted, with_columns(docs.select(keep), **_COLUMNS))
+    return map_batches(docs, counted, with_columns(docs.select(keep), **_COLUMNS))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from braidwin.llm.common import mix, span_hashes, text_chunks, with_columns, word_spans
+from braidwin.llm.common import map_batches, mix, span_hashes, text_chunks, with_columns, word_spans
 from braidwin.llm.quality import labelled
 
 FACTORS = 6
@@ -115,7 +115,7 @@ def train(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = MAX_TRAIN_PER_CLASS) -> Model:
-    rows = labelled(docs, labels, label, per_class).mapInArrow(_terms, "ord long, label int, terms binary").collect()
+    rows = map_batches(labelled(docs, labels, label, per_class), _terms, "ord long, label int, terms binary").collect()
     return train([(r.label, np.frombuffer(r.terms, np.uint64)) for r in sorted(rows, key=lambda r: (r.ord, r.terms))])
 
 
@@ -133,4 +133,4 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
             score = 1 / (1 + np.exp(-np.clip(own.margins(*term_hashes(texts), len(texts)), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(scored, with_columns(docs, score="double", predicted="integer"))
+    return map_batches(docs, scored, with_columns(docs, score="double", predicted="integer"))

@@ -1,0 +1,244 @@
+"""N-gram join, components, fingerprints, secret scans and URL filters against brute force, and odd rows."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from conftest_llm import docs_frame
+from pyspark.sql import functions as F
+
+from braidwin.llm import fingerprints, ngram_join, queries, secret_scan, url_filter
+from braidwin.llm.components import components
+from braidwin.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def roots(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "hub", "none"])
+def test_components(spark, kind):
+    rng = np.random.default_rng(1)
+    edges = {"random": [tuple(map(int, rng.integers(0, 150, 2))) for _ in range(90)], "path": [(i, i + 1) for i in range(70)], "hub": [(0, i) for i in range(1, 200)] + [(200, 199)], "none": []}[kind]
+    frame = spark.createDataFrame(edges + [(5, 5)] * (kind == "hub"), "a long, b long")
+    found = {r.node: r.root for r in components(frame).collect()}
+    assert found == {x: r for x, r in roots([e for e in edges if e[0] != e[1]]).items() if x != r}
+
+
+def linked(docs, threshold=0.8):
+    sets = [set(ngram_join.shingle_sets([(t or "").encode()])[0].tolist()) for _, t in docs]
+    edges, n = [], dict.fromkeys(range(len(docs)), 0)
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
+                edges.append((i, j))
+                n[i] += 1
+                n[j] += 1
+    group = roots(edges)
+    least = {}
+    for i, r in group.items():
+        least[r] = min(least.get(r, 1 << 60), docs[i][0])
+    return {docs[i][0]: (n[i], least[group[i]] if i in group else docs[i][0]) for i in range(len(docs))}
+
+
+def family(rng, first, n, words, changes):
+    base = [f"w{int(x)}" for x in rng.integers(0, 5000, words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for j in rng.integers(0, words, int(rng.integers(0, changes))):
+            own[j] = f"v{int(rng.integers(0, 10**6))}"
+        out.append((first + i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_links_and_classes(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "NODE_BLOCK", 2 * block)
+    rng = np.random.default_rng(2)
+    docs = family(rng, 0, 30, 120, 5) + family(rng, 100, 12, 60, 3) + family(rng, 200, 8, 9, 2)
+    docs += [(300, docs[0][1]), (301, docs[0][1].upper()), (302, "a b"), (303, "b a"), (304, "A, b!"), (305, None), (306, ""), (307, "...")]
+    docs += [(400 + i, " ".join(f"u{int(x)}" for x in rng.integers(0, 10**6, 50))) for i in range(10)]
+    found = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.similar(docs_frame(spark, docs).repartition(3)).collect()}
+    assert found == linked(docs)
+    kept = {r.doc_id for r in ngram_join.first_of_each(docs_frame(spark, docs)).collect()}
+    assert kept == {c for _, c in linked(docs).values()}
+
+
+def test_the_prefix_is_shortened_until_the_recall_is_reached():
+    for recall in (0.5, 0.9, 0.99, 0.999):
+        k = ngram_join.depth(0.8, 16, 8, recall)
+        assert 1 - (1 - 0.8**k) ** 16 >= recall and (k == 8 or 1 - (1 - 0.8 ** (k + 1)) ** 16 < recall)
+
+
+def test_links_of_odd_rows(spark, odd):
+    rows = ngram_join.similar(odd).collect()
+    assert len(rows) == odd.count()
+    ones = [r for r in rows if r.n_copies == 3]
+    assert [(r.n_links, r.class_id) for r in ones] == [(2, 4)] * 3
+    assert all(r.n_links == 0 and r.class_id == r.doc_id for r in rows if r.n_copies == 1)
+    kept = ngram_join.first_of_each(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id, r.text) for r in kept.where("doc_id in (4, 8)").collect()) == [(4, "one"), (4, "two words")]
+    assert kept.count() == odd.count() - 2
+    assert ngram_join.similar(odd.limit(0)).count() == 0 and ngram_join.first_of_each(odd.limit(0)).count() == 0
+
+
+def edited(docs):
+    rows = sorted(docs, key=lambda x: -x[0])
+    out = {}
+    for i, (doc, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        k = len(text) // 3
+        out[doc] = text[: len(text) - k] + after[:k]
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 12])
+def test_edited_texts(spark, parts):
+    rng = np.random.default_rng(3)
+    docs = [(int(i) * 7 - 20, "é🙂 word " * int(n)) for i, n in enumerate(rng.integers(0, 30, 40))] + [(1000, None), (1001, "")]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = fingerprints.edited_pairs(docs_frame(spark, docs)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {r.doc_id: r.edited for r in rows} == edited(docs) and len(rows) == len(docs)
+    assert {r.doc_id: r.n_chars for r in rows} == {d: len(t or "") for d, t in docs}
+    nexts = {r.doc_id: r for r in rows}
+    order = sorted(nexts, reverse=True)
+    assert all(nexts[a].next_sketch == nexts[b].sketch for a, b in zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_sketches(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{int(x)}" for x in rng.integers(0, 10**6, 4000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:2000])), (3, " ".join(words[2000:])), (4, "Few, words!"), (5, "few WORDS"), (6, "few others"), (7, ""), (8, None)]
+    found = fingerprints.with_sketch(docs_frame(spark, docs), "text", "s").select("doc_id", "s")
+    a, b = (found.select(F.col("doc_id").alias(f"{x}_id"), F.col("s").alias(x)) for x in "ab")
+    pairs = {(r.a_id, r.b_id): r for r in a.crossJoin(b).select("a_id", "b_id", fingerprints.likeness("a", "b").alias("like"), fingerprints.containment("a", "b").alias("part"), fingerprints.union("a", "b").alias("u"), "a", "b").collect()}
+    assert abs(pairs[1, 2].like - 0.5) < 0.08 and pairs[2, 1].part == 1 and abs(pairs[1, 2].part - 0.5) < 0.08 and pairs[2, 3].like < 0.01
+    assert abs(len(pairs[1, 1].a) / 3996 - fingerprints.FRACTION) < 0.02 and pairs[1, 1].a == sorted(set(pairs[1, 1].a))
+    assert pairs[4, 5].like == 1 and pairs[4, 6].like == 0 and pairs[7, 8].like == 1 and pairs[1, 7].like == 0
+    # The four shingles over the cut are in neither half.
+    assert set(pairs[2, 3].u) <= set(pairs[1, 1].a) and len(pairs[1, 1].a) - len(pairs[2, 3].u) <= 4
+    assert set(pairs[4, 1].u) == set(pairs[1, 1].a) | {x for x in pairs[4, 4].a if x < fingerprints._limit(fingerprints.FRACTION)}
+
+
+def test_fingerprints_of_odd_rows(spark, odd):
+    rows = fingerprints.edited_pairs(odd).collect()
+    assert len(rows) == odd.count()
+    same = [r.sketch for r in rows if r.n_chars == 3]
+    assert len(same) >= 3 and len({tuple(x) for x in same}) == 1
+    assert fingerprints.edited_pairs(odd.limit(0)).count() == 0
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+KINDS = ("assign", "access", "hex")
+
+
+def spans(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def secrets(rng):
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "='", '": "', " = ", ":", "=", "AKIA", "ABCDEFGH12345678", "abcdef0123456789", "deadbeef", "é🙂", " ", "\n", "x_y-z.w/", "Zz9", "\x01", "AKIAAKIA"]
+    return "".join(bits[i] for i in rng.integers(0, len(bits), int(rng.integers(0, 40))))
+
+
+def test_secret_spans(spark):
+    rng = np.random.default_rng(5)
+    docs = [(i, secrets(rng)) for i in range(300)] + [(900, "token=x_secret: abcdefghijklmnop"), (901, None), (902, ""), (903, "AKIA0123456789ABCD"), (904, "AKIA0123456789ABC")]
+    rows = {r.doc_id: r for r in secret_scan.scan(docs_frame(spark, docs)).collect()}
+    for doc, text in docs:
+        assert [(s.start, s.kind, s.end) for s in rows[doc].base] == spans(text), text
+        assert all(s.end - s.start >= 20 and not any(a < s.end and s.start < b for a, _, b in spans(text)) for s in rows[doc].extra)
+        assert rows[doc].n_live + rows[doc].n_example == len(rows[doc].base)
+    redacted = {r.doc_id: r for r in secret_scan.redact(docs_frame(spark, docs)).collect()}
+    for doc, text in docs:
+        cover = sorted((s.start, s.end) for s in [*rows[doc].base, *rows[doc].extra])
+        out, at = "", 0
+        for a, b in cover:
+            if a > at or (a == at == 0 and not out):
+                out += text[at:a] + "<SECRET>"
+            at = max(at, b)
+        assert redacted[doc].text == (None if text is None else out + text[at:])
+        assert text is None or redacted[doc].n_chars == len(redacted[doc].text)
+
+
+def test_owners_tell_examples_from_live_secrets(spark):
+    copied, owned, key = "password = hunter2hunter2", "password = 0wn3rsOnlyThing", "Zk39_aPq84-LmN02xYvT7"
+    rows = [(i, f"{copied} text {i}", "repo", f"owner{i}") for i in range(6)] + [(10, owned, "a", "me"), (11, owned, "b", "me"), (12, f"see {key} here", "a", "me"), (13, key, "a", "you"), (14, "Rr11_ssTT22-uuVV33xx", "a", "me")]
+    rows += [(20 + i, "shared Examp1e_k3y-abcdefghij", "a", f"o{i}") for i in range(3)]
+    found = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all((found[i].n_live, found[i].n_example) == (0, 1) for i in range(6)) and (found[10].n_live, found[10].n_example) == (1, 0)
+    assert len(found[12].extra) == len(found[13].extra) == len(found[14].extra) == 1 and all(len(found[20 + i].extra) == 0 for i in range(3))
+
+
+def test_secrets_of_odd_rows(spark, odd):
+    assert secret_scan.scan(odd).count() == odd.count()
+    odd = odd.where("doc_id is null or doc_id != 7")  # 5,000 times a: a run of hex digits
+    out = secret_scan.redact(odd)
+    assert out.columns == odd.columns and sorted(map(repr, out.collect())) == sorted(map(repr, odd.collect()))
+    assert secret_scan.scan(odd.limit(0)).count() == 0 and secret_scan.redact(odd.limit(0)).count() == 0
+
+
+URLS = [
+    ("http://A.com/x?y#z", "a.com", "/x"), ("https://example.com/en/1", "example.com", "/en/1"), ("https://www.EXAMPLE.com/en/", "www.example.com", "/en/"), ("ftp://b.net/es/q#f?x", "b.net", "/es/q"), ("x://net", "net", ""), ("no scheme", "", ""),
+    (None, "", ""), ("", "", ""), ("a://b://c/d", "b:", "//c/d"), ("://h/p", "h", "/p"), ("http://É.com?x/y", "É.com", ""), ("http://notexample.com/en/\n2", "notexample.com", "/en/\n2"), ("http://wexample.net/fr/", "wexample.net", "/fr/"), ("http://user@h.org:8/es/", "user@h.org:8", "/es/"),
+]
+
+
+def rule(host, path):
+    fits = [(len(h + p), h + p, v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, "allow")
+
+
+@pytest.mark.parametrize("inline", [200, 0])
+def test_urls(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_filter, "INLINE_RULES", inline)
+    pages = spark.createDataFrame([(i, u, None, "x", 1, "y", "z") for i, (u, _, _) in enumerate(URLS)] + [(0, URLS[0][0], None, "x", 1, "y", "z")], "page_id long, url string, html string, node string, r int, host string, verdict string")
+    out = url_filter.judge(pages, queries.URL_RULES)
+    rows = out.collect()
+    assert len(rows) == len(URLS) + 1 and {"node", "r"} <= set(out.columns)
+    for r in rows:
+        _, host, path = URLS[r.page_id]
+        assert (r.host, r.path) == (host, path) and (r.rule, r.verdict) == rule(host, path), r
+    assert url_filter.judge(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_redirects(spark):
+    pages = [
+        (1, "http://a.org/x", '<LINK href=https://m.net/es/1 rel="canonical">'), (2, "https://m.net/es/1", None), (3, "http://b.org/", '<meta content="0; URL=http://a.org/x#top" http-equiv=refresh>'), (4, "http://c.org/d/e", '<link rel="canonical" href="f">'),
+        (5, "http://c.org/d/f", ""), (6, "http://d.org/", '<link rel=canonical href="//www.q.com/">'), (7, "http://e.org/", '<link rel=canonical href="/z">'), (8, "http://e.org/z", ""), (9, "http://f.org", '<link rel=stylesheet href="https://m.net/es/1">'),
+        (10, "http://g.org/", '<link rel=canonical href="http://h.org/">'), (11, "http://example.com/en/1", '<link rel=canonical href="http://g.org/">'), (12, "http://www.example.com/en/1", '<link rel=canonical href="http://g.org/">'),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    more = spark.createDataFrame([("http://e.org/z", "http://n.net/fr/"), (None, "http://x.org/")], "source string, target string")
+    found = {r.page_id: (r.verdict, r.aliases) for r in url_filter.judge(frame, queries.URL_RULES, more).collect()}
+    assert found == {1: ("block", True), 2: ("block", False), 3: ("block", True), 4: ("allow", False), 5: ("allow", False), 6: ("allow", True), 7: ("block", True), 8: ("block", True), 9: ("allow", False), 10: ("allow", True), 11: ("block", False), 12: ("allow", False)}
+
+
+def test_edited_query_digests(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    want = edited(docs)
+    for r in queries.op4_fingerprints(spark, SF).collect():
+        assert r.edited_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest() and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
