@@ -53,13 +53,19 @@ def with_pos(df: DataFrame, order: Sequence[str], bucket: Column | None = None,
 def merged_counts(r: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``r`` with ns, the rows of ``s`` that came up to its time, and ``s`` with nr, the rows of ``r`` that came before its time.
 
-    The streams are merged by (ts, S before R, pos).
+    The streams are merged by (ts, S before R, pos), which both results share: one shuffle of the rows, reused.
     """
-    both = r.select("ts", "pos", F.lit(1).alias("side")).unionByName(s.select("ts", "pos", F.lit(0).alias("side")))
-    counted = running(both, ["ts", "side", "pos"], {"n_r": F.col("side"), "n_s": 1 - F.col("side")}, range_of(both, "ts"))
-    ns = counted.where("side = 1").select("pos", F.col("n_s").alias("ns"))
-    nr = counted.where("side = 0").select("pos", F.col("n_r").alias("nr"))
-    return r.join(ns, "pos"), s.join(nr, "pos")
+    key = dict(r.dtypes)["key"]
+    parts = [
+        df.select("ts", F.col("key").cast(key).alias("key"), *[(F.col("payload") if side == own else F.lit(None).cast(other.schema["payload"].dataType)).alias(f"_payload_{own}") for own, other in ((1, r), (0, s))], "pos", F.lit(side).alias("side"))
+        for side, df in ((1, r), (0, s))
+    ]
+    times = r.select("ts").union(s.select("ts"))
+    counted = running(parts[0].unionByName(parts[1]), ["ts", "side", "pos"], {"n_r": F.col("side"), "n_s": 1 - F.col("side")}, range_of(times, "ts"))
+    columns = ["ts", "key", "payload", "pos"]
+    rr = counted.where("side = 1").withColumnsRenamed({"_payload_1": "payload", "n_s": "ns"}).select(*columns, "ns")
+    ss = counted.where("side = 0").withColumnsRenamed({"_payload_0": "payload", "n_r": "nr"}).select(*columns, "nr")
+    return rr, ss
 
 
 def merge_order(r: DataFrame, s: DataFrame) -> DataFrame:
