@@ -49,6 +49,8 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
 
     Of the letters A-Z are lower-cased, as the tokenizer does, so one entry serves all of a word's forms.
     """
+    if b"<|" in word:
+        return word, b""  # special tokens have capitals of their own
     stem = word.rstrip(PUNCTUATION)
     if len(stem) == len(word) or not stem.decode(errors="replace").isalpha():
         low = word.lower()

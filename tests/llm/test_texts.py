@@ -107,11 +107,10 @@ def test_differencing_balances():
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(max_size=80), max_size=5))
+@given(st.lists(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["Word", "don't", "WE'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "e\u0301", " ", "\n", ".,", "12", "İ", "ẞ", "x"]), max_size=12).map("".join)), max_size=5))
 def test_cached_encoding_equals_the_whole(texts):
     from tokenizers import Tokenizer
 
-    texts = [t.replace("<|startoftext|>", "").replace("<|endoftext|>", "") for t in texts]
     own = Tokenizer.from_file(packing.default_tokenizer())
     found = packing.encode(packing.default_tokenizer(), [t.encode(errors="ignore") for t in texts])
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [own.encode(t.encode(errors="ignore").decode(), add_special_tokens=False).ids for t in texts]
