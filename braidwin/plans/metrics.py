@@ -38,6 +38,14 @@ def measured(r: DataFrame, s: DataFrame | None, config: JoinConfig) -> DataFrame
     return r.sparkSession.createDataFrame([(name, matches, emitted or 0, max(0, tuples), us, max(0, tuples) / us)], SCHEMA)
 
 
+def stream_figures(query, first: int = 100) -> dict:
+    """Of a streaming query: its batches and rows, rows a second, and the mean milliseconds of its first batches (those it still knows)."""
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    ms = [p["durationMs"].get("triggerExecution", 0) for p in batches]
+    rows = sum(p["numInputRows"] for p in batches)
+    return {"batches": len(batches), "rows": rows, "rows_per_second": 1000 * rows / max(1, sum(ms)), "mean_latency_ms": sum(ms[:first]) / max(1, len(ms[:first]))}
+
+
 def repeated(run, times: int) -> tuple[float, Sequence[float]]:
     """The median seconds of ``run()``, and all."""
     took = []

@@ -13,6 +13,8 @@ from braidwin.plans import metrics, registry
 from braidwin.plans.config import JoinConfig
 from braidwin.sources import generators
 from braidwin.sources.tables import stream
+from braidwin.streaming import batches
+from braidwin.streaming.eager import eager_stream
 
 OUT = ["r_pos", "s_pos", "r_key", "s_key", "r_ts", "s_ts", "r_payload", "s_payload"]
 BATCH = ["k", *OUT]
@@ -347,6 +349,39 @@ ALL["generate_times"] = (lambda spark, d: rearrange.is_sorted(generators.uniform
 ALL["throughput_metrics"] = (lambda spark, d: metrics.measured(customers(spark, d), orders(spark, d), JoinConfig(alg="FK-MERG-L4", r_window=512, s_window=512, r_batch=64, s_batch=256, fk_join=True))), None
 
 
+ALL["shuffle_keys"] = (lambda spark, d: rearrange.reseated(orders(spark, d), ["key", "payload"], 3).agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.sum("payload").alias("payloads"), F.count_distinct("pos").alias("places"))), "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS keys, CAST(SUM(o_orderkey) AS BIGINT) AS payloads, COUNT(*) AS places FROM orders"
+
+
+def stream_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and purchases as a file stream: the prefill, then a trigger for each batch of 500 rows a side."""
+    r, s = clicks(spark, d), purchases(spark, d)
+    window, batch = EW, (500, 500)
+    side_r, side_s = joins.sides(r, s, window, batch)
+    cuts = [(window[0] + k * batch[0], window[1] + k * batch[1]) for k in range(max(side_r.batches, side_s.batches))]
+    at = batches.scratch(spark)
+    join = batches.BatchJoin(f"{at}/out", f"{at}/state", window, "delta")
+    stream_ = batches.as_files(r, s, cuts, f"{at}/in")
+    stream_.writeStream.option("checkpointLocation", f"{at}/checkpoint").foreachBatch(join).trigger(availableNow=True).start().awaitTermination()
+    return batches.read_result(spark, f"{at}/out").withColumn("k", F.col("k") - 1).select(BATCH)
+
+
+ALL["stream_delta"] = stream_delta, sql_delta("clicks", "purchases", EW, (500, 500))
+
+
+def stream_eager(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and purchases as a file stream, joined tuple by tuple: the prefill, then all that came up to some times, then the rest."""
+    r, s = clicks(spark, d), purchases(spark, d)
+    rr, _ = position.merged_counts(r, s)
+    cuts = [EW, *((x.pos, max(x.ns, EW[1])) for x in rr.where("pos % 700 = 0 and pos > 64").select("pos", "ns").orderBy("pos").collect())]
+    at = batches.scratch(spark)
+    result = eager_stream(batches.as_files(r, s, cuts, f"{at}/in"), EW)
+    result.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(OUT)
+
+
+ALL["stream_eager"] = stream_eager, sql_eager("clicks", "purchases", EW)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """DELTA of customers and orders with windows that fit 150 customers."""
     return joins.delta(customers(spark, d), orders(spark, d), (32, 32), (8, 32)).select(BATCH)

@@ -8,6 +8,9 @@ loses nor repeats a row.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,26 @@ class BatchJoin:
         return rows.join(touched, "key", "left").where("fresh or touched").drop("touched")
 
 
+def scratch(spark) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or of the driver's own where that is unset (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braidwin-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+def as_files(r: DataFrame, s: DataFrame, cuts: list[tuple[int, int]], folder: str) -> DataFrame:
+    """Two streams as a streaming one of a file a trigger: the rows up to the first positions of ``cuts`` (R, S), then to the next, and all the rest."""
+    spark = r.sparkSession
+    both = r.withColumn("side", F.lit("R")).unionByName(s.withColumn("side", F.lit("S"))).withColumnRenamed("pos", "seq")
+    rows = both.select("side", "ts", F.col("key").cast("long").alias("key"), F.col("payload").cast("long").alias("payload"), "seq")
+    before = (0, 0)
+    for after in [*cuts, (None, None)]:
+        own = [F.col("side") == x for x in "RS"]
+        part = [side & (F.col("seq") >= lo) & (F.lit(True) if hi is None else F.col("seq") < hi) for side, lo, hi in zip(own, before, after, strict=True)]
+        rows.where(part[0] | part[1]).coalesce(1).write.mode("append").parquet(folder)
+        before = after
+    return spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def read_result(spark, out: str) -> DataFrame:
     """All batches' results."""
     return spark.read.parquet(out).drop("batch")
