@@ -142,13 +142,15 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def assign(sizes: np.ndarray, window: int) -> np.ndarray:
-    """The window of each piece, of as few windows as the differencing can keep within capacity."""
-    k = max(1, -(-int(sizes.sum()) // window))
+    """The window of each piece (none is larger than a window), of as few windows as the differencing can keep within capacity."""
+    k, tries = max(1, -(-int(sizes.sum()) // window), int((sizes > window // 2).sum())), 0
     while True:
         at = difference(sizes, k)
-        if np.bincount(at, weights=sizes, minlength=k).max(initial=0) <= window:
+        excess = np.maximum(np.bincount(at, weights=sizes, minlength=k) - window, 0).sum()
+        if not excess:
             return at
-        k += 1
+        tries += 1
+        k += max(1, int(excess // window), tries // 8)
 
 
 def _cuts(n: int, window: int, filler: bool) -> list[int]:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwin.llm.common import held_out, map_batches, mix, span_hashes, spans, text_chunks, text_of, with_columns
@@ -28,6 +28,8 @@ GRAMS = (3, 4, 5)
 FEATURE_BYTES = 1 << 20
 #: At most so many labelled rows of each class are learned from, the first in the order of a hash of doc_id.
 MAX_TRAIN_PER_CLASS = 1200
+#: Bytes of text of a class that are learned from, at most.
+MAX_TRAIN_BYTES = 24 << 20
 _SPACES = bytes(32 if c in b" \t\n\r\x0b\x0c\x00" else c for c in range(256))
 
 
@@ -83,15 +85,20 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """(ord, label, text): a bounded sample of the rows whose labels may be learned from.
 
     A doc_id with several labels counts as 1 if one of them is 1. At most ``per_class`` ids of each class are taken, in
-    the order of a hash of doc_id, so the broadcast side holds 2 * per_class ids whatever the size of the tables.
+    the order of a hash of doc_id, and of these as many as have ``class_bytes`` of text together, without those that have more
+    than a hundredth of it; so what is broadcast and learned from is bounded whatever the size of the tables and texts.
     """
     seen = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumn("ord", F.xxhash64("doc_id"))
     some = [seen.where(F.col("label") == k).orderBy("ord", "doc_id").limit(per_class) for k in (0, 1)]
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id").select("ord", "label", "text")
+    size = F.sum(F.octet_length(text_of())).alias("size")
+    sized = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").groupBy("label", "ord", "doc_id").agg(size).where(F.col("size") <= class_bytes // 100)
+    upto = F.sum("size").over(Window.partitionBy("label").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = sized.withColumn("upto", upto).where(F.col("upto") <= class_bytes).select("doc_id", "ord", "label")
+    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(taken), "doc_id").select("ord", "label", "text")
 
 
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:

@@ -32,6 +32,9 @@ def test_labels_of_held_out_rows_are_not_used(spark):
 
     free = {r.ord for r in labels.where(~held_out()).select(F.xxhash64("doc_id").alias("ord")).collect()}
     assert taken == free and len(quality.labelled(docs, labels, "quality", 5).collect()) == 10
+    # "text 7" has 6 bytes, "text 12" 7: nothing over a hundredth of the bytes, and no more than these together.
+    assert {len(r.text) for r in quality.labelled(docs, labels, "quality", 100, 600).collect()} == {6}
+    assert sum(len(r.text) for r in quality.labelled(docs_frame(spark, [(i, "x") for i in range(60)] * 40), labels, "quality", 100, 4000).collect()) <= 8000
 
 
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])

@@ -99,6 +99,12 @@ def test_differencing_stays_within_capacity(sizes, window):
     assert loads.max() <= window and len(at) == len(sizes)
 
 
+def test_differencing_of_halves():
+    at = packing.assign(np.full(400, 2100), 4096)
+    assert np.bincount(at).max() == 1
+    assert packing.assign(np.zeros(0, np.int64), 10).tolist() == []
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 1000, 500)
