@@ -64,7 +64,7 @@ def band(probe: DataFrame, build: DataFrame, p: str, b: str, low: Column, high:
     return ranged.join(other, on).drop("_bucket", "_bucket_b", "_low", "_high")
 
 
-_OUT = [f"{side}_{c}" for side in "rs" for c in COLUMNS[:3]] + ["r_pos", "s_pos"]
+PAIR_COLUMNS = [f"{side}_{c}" for side in "rs" for c in COLUMNS[:3]] + ["r_pos", "s_pos"]
 
 
 def eager(r: DataFrame, s: DataFrame, window: tuple[int, int], prefill: tuple[int, int] | None = None) -> DataFrame:
@@ -75,8 +75,8 @@ def eager(r: DataFrame, s: DataFrame, window: tuple[int, int], prefill: tuple[in
     rr, ss = merged_counts(r, s)
     rr = rr.withColumn("ns", F.greatest("ns", F.lit(ps))).where(F.col("pos") >= pr)
     ss = ss.withColumn("nr", F.greatest("nr", F.lit(pr))).where(F.col("pos") >= ps)
-    new_r = band(rr, s, "r", "s", F.col("ns") - ws, F.col("ns"), ws).select(_OUT)
-    new_s = band(ss, r, "s", "r", F.col("nr") - wr, F.col("nr"), wr).select(_OUT)
+    new_r = band(rr, s, "r", "s", F.col("ns") - ws, F.col("ns"), ws).select(PAIR_COLUMNS)
+    new_s = band(ss, r, "s", "r", F.col("nr") - wr, F.col("nr"), wr).select(PAIR_COLUMNS)
     return new_r.unionByName(new_s)
 
 
@@ -89,7 +89,7 @@ def delta(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int,
     # A row joins what has come by the end of its batch; pairs of one batch come from the first join alone.
     by_r = band(rr, s, "r", "s", b.low(k), F.least(b.filled(k) + b.batch, F.lit(b.rows)), b.window + b.batch)
     by_s = band(ss, r, "s", "r", a.low(k), a.filled(k), a.window)
-    return by_r.select("k", *_OUT).unionByName(by_s.select("k", *_OUT))
+    return by_r.select("k", *PAIR_COLUMNS).unionByName(by_s.select("k", *PAIR_COLUMNS))
 
 
 def _snapshots(df: DataFrame, side: Side, batches: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _by_batch(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[
     return _snapshots(r, a, batches), _snapshots(s, b, batches)
 
 
-def _joined(rr: DataFrame, ss: DataFrame) -> DataFrame:
+def joined_by_batch(rr: DataFrame, ss: DataFrame) -> DataFrame:
     left = _named(rr.select(*COLUMNS, "k", F.col("fresh").alias("r_fresh")), "r")
     right = _named(ss.select(*COLUMNS, F.col("k").alias("_k"), F.col("fresh").alias("s_fresh")), "s")
     return left.join(right, (F.col("k") == F.col("_k")) & (F.col("r_key") == F.col("s_key")))
@@ -116,7 +116,7 @@ def _joined(rr: DataFrame, ss: DataFrame) -> DataFrame:
 
 def snapshot(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> DataFrame:
     """Batch by batch, both windows and new rows joined anew: a pair comes in every batch in which both are there."""
-    return _joined(*_by_batch(r, s, window, batch)).select("k", *_OUT)
+    return joined_by_batch(*_by_batch(r, s, window, batch)).select("k", *PAIR_COLUMNS)
 
 
 def rect(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> DataFrame:
@@ -128,9 +128,9 @@ def rect(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int,
         new = other.where("fresh").select("k", "key").distinct().withColumn("touched", F.lit(True))
         return rows.join(new, ["k", "key"], "left").where("fresh or touched")
 
-    return _joined(contributing(rr, ss), contributing(ss, rr)).select("k", *_OUT)
+    return joined_by_batch(contributing(rr, ss), contributing(ss, rr)).select("k", *PAIR_COLUMNS)
 
 
 def static(r: DataFrame, s: DataFrame) -> DataFrame:
     """Both relations as a whole."""
-    return _named(r, "r").join(_named(s, "s"), F.col("r_key") == F.col("s_key")).select(_OUT)
+    return _named(r, "r").join(_named(s, "s"), F.col("r_key") == F.col("s_key")).select(PAIR_COLUMNS)

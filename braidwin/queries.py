@@ -12,7 +12,7 @@ from braidwin.operators import fk, joins, keyed, padding, position, rearrange
 from braidwin.plans import metrics, registry
 from braidwin.plans.config import JoinConfig
 from braidwin.sources import generators
-from braidwin.sources.tables import stream
+from braidwin.sources.tables import read_dump, read_keys, stream, write_dump, write_metrics
 from braidwin.streaming import batches
 from braidwin.streaming.eager import eager_stream
 
@@ -382,6 +382,45 @@ def stream_eager(spark: SparkSession, d: str) -> DataFrame:
 ALL["stream_eager"] = stream_eager, sql_eager("clicks", "purchases", EW)
 
 
+def count_dummies(spark: SparkSession, d: str) -> DataFrame:
+    config = JoinConfig(alg="FK-MERG-L4", r_window=512, s_window=512, r_batch=64, s_batch=256, fk_join=True)
+    return padding.count_dummies(registry.padded(customers(spark, d), orders(spark, d), config))
+
+
+ALL["count_dummies"] = count_dummies, f"SELECT CAST(SUM(dummies) AS BIGINT) AS dummies FROM ({_S})"
+
+
+def dump_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks written as text lines and read again."""
+    at = batches.scratch(spark)
+    write_dump(clicks(spark, d), f"{at}/dump")
+    return read_dump(spark, f"{at}/dump").select("pos", "ts", "key", "payload")
+
+
+ALL["dump_round_trip"] = dump_round_trip, f"SELECT pos, ts, key, payload FROM ({SQL_STREAMS['clicks']})"
+
+
+def key_file_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Customer keys written one a line, with lines that are none, and read as a stream: its keys, and whether times rise."""
+    at = batches.scratch(spark)
+    keys = _table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("value"))
+    keys.union(spark.createDataFrame([("x",), ("",), ("-4",)], "value string")).write.text(f"{at}/keys")
+    read = read_keys(spark, f"{at}/keys", 1000)
+    return read.select("key").join(rearrange.is_sorted(read, "ts"))
+
+
+ALL["key_file_scan"] = key_file_scan, "SELECT c_custkey AS key, true AS sorted FROM customer WHERE c_custkey > 0"
+ALL["append_figures"] = (lambda spark, d: _figures(spark, d)), "SELECT CAST(2 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS different"
+
+
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    at = batches.scratch(spark)
+    row = spark.createDataFrame([("SHJ", 1, 1, 2, 3, 0.5)], metrics.SCHEMA)
+    for _ in range(2):
+        write_metrics(row, f"{at}/figures")
+    return spark.read.option("header", True).csv(f"{at}/figures").agg(F.count("*").alias("runs"), F.count_distinct("algorithm").alias("different"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """DELTA of customers and orders with windows that fit 150 customers."""
     return joins.delta(customers(spark, d), orders(spark, d), (32, 32), (8, 32)).select(BATCH)

@@ -59,10 +59,10 @@ class BatchJoin:
     def joined(self, r: DataFrame, s: DataFrame) -> DataFrame:
         if self.mode == "rect":
             r, s = self._contributing(r, s), self._contributing(s, r)
-        pairs = joins._joined(r.withColumn("k", F.lit(0)), s.withColumn("k", F.lit(0)))
+        pairs = joins.joined_by_batch(r.withColumn("k", F.lit(0)), s.withColumn("k", F.lit(0)))
         if self.mode in ("delta", "static"):
             pairs = pairs.where("r_fresh or s_fresh")
-        return pairs.select(joins._OUT)
+        return pairs.select(joins.PAIR_COLUMNS)
 
     @staticmethod
     def _contributing(rows: DataFrame, other: DataFrame) -> DataFrame:
