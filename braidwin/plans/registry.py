@@ -71,8 +71,12 @@ def resolve(config: JoinConfig) -> tuple[str, Algorithm, JoinConfig]:
 
 
 def encrypted(df: DataFrame) -> DataFrame:
-    """A stream with key and payload (unsigned 32-bit integers) as deterministic ciphertexts."""
-    return df.withColumns({"key": crypto.encrypt_int(F.col("key")), "payload": crypto.encrypt_int(F.col("payload"))})
+    """A stream with key and payload (unsigned 32-bit integers) as deterministic ciphertexts.
+
+    Dealt by position after that: a join reads its streams several times, the shuffle's output is reused, so nothing is
+    encrypted twice.
+    """
+    return df.withColumns({"key": crypto.encrypt_int(F.col("key")), "payload": crypto.encrypt_int(F.col("payload"))}).repartition("pos")
 
 
 def run(r: DataFrame, s: DataFrame | None, config: JoinConfig) -> DataFrame:
