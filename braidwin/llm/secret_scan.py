@@ -21,7 +21,7 @@ KINDS = (
     # A run of 16 or more is the same match as a whole run that has 16 or more.
     ("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
 )
-GENERIC = ("generic", r"[A-Za-z0-9_-]{20,}", 0, 20, r"[A-Za-z0-9_-]{20}")
+GENERIC = "generic"
 #: From so many distinct owners on, a value is a widely copied example.
 EXAMPLE_OWNERS = 3
 _SALTS = 8
@@ -46,14 +46,16 @@ def _found(text: Column, n: int, kind: tuple) -> Column:
 
 def _generic(text: Column, base: Column) -> Column:
     """Generic candidates that have a letter and a digit and touch no base span."""
-    pattern = r"(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}+"
-    found = _found(text, len(KINDS), ("generic", pattern, 0, 20, r"(?=[A-Za-z0-9_-]{20})[A-Za-z_-]*[0-9]"))
+    # Only the start of a run is looked at: if the whole has no digit, no part of it has, however long it is.
+    start = r"(?<![A-Za-z0-9_-])"
+    pattern = start + r"(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+"
+    found = _found(text, len(KINDS), (GENERIC, pattern, 0, 20, start + r"(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20}"))
     return F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
 
 def joined(spans: Column) -> Column:
     """kind:start:end, by start and then kind, comma-joined."""
-    names = F.array(*[F.lit(k[0]) for k in KINDS], F.lit(GENERIC[0]))
+    names = F.array(*[F.lit(k[0]) for k in KINDS], F.lit(GENERIC))
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 

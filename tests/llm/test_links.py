@@ -193,6 +193,12 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert len(found[12].extra) == len(found[13].extra) == len(found[14].extra) == 1 and all(len(found[20 + i].extra) == 0 for i in range(3))
 
 
+def test_long_runs_take_linear_time(spark):
+    docs = [(1, "x" * 2_000_000), (2, "g" * 1_000_000 + "7"), (3, "token" * 200_000), (4, "7" * 1_000_000), (5, "token =" * 100_000), (6, "-" * 1_000_000), (7, "token" + " " * 1_000_000)]
+    rows = {r.doc_id: r for r in secret_scan.scan(docs_frame(spark, docs)).collect()}
+    assert [len(rows[i].extra) for i in range(1, 8)] == [0, 1, 0, 0, 0, 0, 0] and [len(rows[i].base) for i in range(1, 8)] == [0, 0, 0, 1, 0, 0, 0]
+
+
 def test_secrets_of_odd_rows(spark, odd):
     assert secret_scan.scan(odd).count() == odd.count()
     odd = odd.where("doc_id is null or doc_id != 7")  # 5,000 times a: a run of hex digits
