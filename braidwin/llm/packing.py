@@ -15,6 +15,7 @@ import gc
 import heapq
 import os
 import string
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,9 +34,12 @@ FILLER, FILLER_ONE_IN = 32, 48
 END_ID = 2
 #: Bytes of text whose new words are encoded together.
 ENCODE_BYTES = 4 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 PUNCTUATION = string.punctuation.encode()
 _TOKENIZERS: dict[str, tuple] = {}
+#: The characters that byte-level encodings show bytes as: printable ones of Latin-1 as themselves, the others from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = {b: 256 + n for n, b in enumerate(_HIDDEN)}
 
 
 def default_tokenizer() -> str:
@@ -51,13 +55,28 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
     """
     if b"<|" in word:
         return word, b""  # special tokens have capitals of their own
+    if word.islower() and word.isalpha():
+        return word, b""  # one object for both tables
     stem = word.rstrip(PUNCTUATION)
-    if len(stem) == len(word) or not stem.decode(errors="replace").isalpha():
-        low = word.lower()
-        return (word if low == word else low), b""  # one object for both tables
+    if len(stem) == len(word):
+        return word.lower(), b""
+    if not stem.isalpha():
+        text = stem.decode(errors="replace")
+        if not (text.isalpha() and text.lower().isalpha()):  # a small letter may come with a mark, which would go to the punctuation
+            return word.lower(), b""
     return stem.lower(), word[len(stem) :]
 
 
+def _plain(stem: bytes) -> str | None:
+    """The stem as the merges see it, a character for each byte, if it is of letters that need no normalising; else None."""
+    if stem.isalpha():
+        return stem.decode()
+    text = stem.decode(errors="replace")
+    if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+        return stem.decode("latin-1").translate(_SHOWN)
+    return None
+
+
 def encode(path: str, texts: list[bytes]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -86,10 +105,15 @@ def encode(path: str, texts: list[bytes]) -> list[bytes]:
     for word in new:
         new[word] = _parts(word)
     unknown = {x for pair in new.values() for x in pair} - stems.keys()
-    # Nothing is normalised, split or mapped in a word of a-z alone: the merges are all there is to do.
-    for x in [x for x in unknown if x.isalpha()]:
-        stems[x] = array("I", [t.id for t in model.tokenize(x.decode())]).tobytes()
-    unknown = [x for x in unknown if not x.isalpha()]
+    # Nothing is normalised or split in a word of small letters: the merges are all there is to do.
+    rest = []
+    for x in unknown:
+        shown = _plain(x)
+        if shown is None:
+            rest.append(x)
+        else:
+            stems[x] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+    unknown = rest
     for i in range(0, len(unknown), 4096):
         part = unknown[i : i + 4096]
         for x, e in zip(part, tokenizer.encode_batch_fast([x.decode(errors="replace") for x in part], add_special_tokens=False), strict=True):

@@ -122,6 +122,17 @@ def test_cached_encoding_equals_the_whole(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [own.encode(t.encode(errors="ignore").decode(), add_special_tokens=False).ids for t in texts]
 
 
+def test_cached_encoding_of_odd_letters():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_tokenizer())
+    rng = np.random.default_rng(6)
+    marks = ["a", "é", "É", "ß", "ẞ", "İ", "ı", "Σ", "σ", "ς", "e\u0301", "\u0301", "漢", "١", "ǅ", "ﬁ", "Ω", "ª", "µ", "ʰ", "\xad", "'s", "'", ".", "!", "1", " ", "\n", "\x85", "\u3000", "\U0001d49c", "🙂", "न", "ा", "한", "\u1112", "\u1161", "Å", "K"]
+    texts = ["".join(rng.choice(marks, int(n))) for n in rng.integers(1, 9, 4000)]
+    found = packing.encode(packing.default_tokenizer(), [t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def allocated(text, rule):
     """Tokens of each line, one token at a time."""
     own = token_counts.encoder(token_counts.default_ranks())
