@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from braidwin.llm.common import grouped, map_batches, shuffle_partitions, text_chunks, with_columns, written
 
 WINDOW = 4096
-BUCKET = 1024
-FILLER, FILLER_ONE_IN = 32, 48
+BUCKET = 2048
+FILLER, FILLER_ONE_IN = 32, 64
 END_ID = 2
 #: Bytes of text whose new words are encoded together.
 ENCODE_BYTES = 4 << 20
