@@ -8,6 +8,8 @@ component with an explicitly allowed URL is allowed, else one with a blocked URL
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html import unescape
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,15 @@ from braidwin.llm.components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules stand in the plan itself; more are joined.
 INLINE_RULES = 200
-_LINK = r"""(?is)<link\b(?=[^>]*?\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>;]+)"""
+# A tag up to its end, ">" in quotes included. All runs are possessive: a page is read once, however broken its tags are.
+_TAG = r"""(?is)<%s(?=[\s/])(?:[^>"']|"[^"]*+"|'[^']*+'|["'])*+"""
+_ATTRIBUTE = r"""(?s)(?<![^\s"'<>/=])([^\s"'<>/=]++)\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+))"""
+#: What follows the seconds of a refresh; without seconds only after ``url=``.
+_REFRESH = r"""(?is)^\s*+(?:[0-9.]*+[\s;,]*+url\s*+=\s*+|[0-9.]++[\s;,]++(?!url\s*+=))(?:"([^"]*+)|'([^']*+)|(\S.*+))"""
+# In an attribute a name without semicolon is no entity before "=", a letter or a digit: "?a=1&copy=2" is meant as it stands.
+_ENTITY = r"&(?:#[xX][0-9a-fA-F]++;?|#[0-9]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))"
+#: The named entities, and the numbers that stand for other characters than their own.
+_ENTITIES = {**html5, **{f"#{n}": unescape(f"&#{n};") for n in range(128, 160)}}
 
 
 def host(url: Column) -> Column:
@@ -32,17 +41,69 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _plain(path: Column) -> Column:
+    """A path without dot segments; the empty one is ``/``."""
+    parts = F.split(path, "/", -1)
+    here, up = (lambda x: F.lower(x).isin(".", "%2e")), (lambda x: F.lower(x).isin("..", ".%2e", "%2e.", "%2e%2e"))
+    step = lambda acc, x: F.when(up(x), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(here(x), acc).otherwise(F.array_append(acc, x))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.expr("cast(array() as array<string>)"), step)
+    end = F.element_at(parts, -1)
+    kept = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when((here(end) | up(end)) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path == "", F.lit("/")).when(path.rlike(r"(?i)/(?:\.|%2e)"), kept).otherwise(path)
+
+
 def node(url: Column) -> Column:
-    """What tells URLs apart as ends of an edge: host, path and query; null without ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.unhex(F.md5(F.concat(host(url), F.lit(" "), rest).cast("binary"))))
+    """What tells URLs apart as ends of an edge: host, path without dot segments and query; null without ``://``."""
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.unhex(F.md5(F.concat(host(url), F.lit(" "), _plain(path(url)), query).cast("binary"))))
 
 
 def resolved(url: Column, link: Column) -> Column:
-    """The absolute URL of a link that stands at ``url``."""
-    top = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(path(url), r"(?s)^(.*/)", 1)
-    return F.when(F.instr(link, "://") > 0, link).when(link.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), link)).when(link.startswith("/"), F.concat(top, link)).otherwise(F.concat(top, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+    """The absolute URL of a link that stands at ``url``, without dot segments; null for another scheme than ``://``."""
+    top, own = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path(url)
+    folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
+    absolute = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+:"), F.lit(None).cast("string"))
+        .when((link == "") | link.startswith("#"), url).when(link.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), link))
+        .when(link.startswith("/"), F.concat(top, link)).when(link.startswith("?"), F.concat(top, own, link)).otherwise(F.concat(top, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+    )
+    dots = absolute.rlike(r"(?i)/(?:\.|%2e)")
+    return F.when(dots, F.concat(F.regexp_extract(absolute, r"(?s)^(.*?://[^/?#]*)", 1), _plain(path(absolute)), F.regexp_extract(absolute, r"(?s)^.*?://[^?#]*(.*)", 1))).otherwise(absolute)
+
+
+def _character(entity: Column) -> Column:
+    """What an entity stands for; one that is not known stays."""
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _ENTITIES.items())), F.lit("\x01"), F.lit("\x02"))
+    digits = F.regexp_extract(entity, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    code = F.when(F.length(digits).between(1, 7), F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    return F.when(entity.startswith("&#"), F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), code.cast("string"))), number)).otherwise(F.coalesce(F.try_element_at(table, F.substring(entity, 2, 64)), entity))
+
+
+def unescaped(text: Column) -> Column:
+    """An attribute's text with its HTML entities decoded."""
+    parts = F.zip_with(F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), lambda gap, x: F.concat(gap, F.when(x.isNull(), F.lit("")).otherwise(_character(x))))
+    return F.when(F.instr(text, "&") > 0, F.array_join(parts, "")).otherwise(text)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's first attribute of that name, null without one."""
+    every = [F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(i)) for i in (1, 2, 3, 4)]
+    at = F.array_position(F.transform(every[0], F.lower), name).cast("int") - 1
+    return unescaped(F.concat(*[F.get(values, at) for values in every[1:]]))
+
+
+def _links(html: Column) -> Column:
+    """The targets of all canonical links and refreshes as they stand in the page."""
+    link, meta = (F.regexp_extract_all(html, F.lit(_TAG % name), F.lit(0)) for name in ("link", "meta"))
+    canonical = F.filter(link, lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(meta, lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
+    content = F.transform(refresh, lambda t: F.coalesce(_attribute(t, "content"), F.lit("")))
+    after = F.transform(content, lambda c: F.concat(*[F.regexp_extract(c, _REFRESH, i) for i in (1, 2, 3)]))
+    # Not HTML, but met: <meta http-equiv=refresh content=0; url=...>.
+    after = F.zip_with(after, refresh, lambda c, t: F.when(c != "", c).otherwise(_attribute(t, "url")))
+    return F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), after)
 
 
 def _suffixes(h: Column) -> Column:
@@ -74,11 +135,14 @@ def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]], host_col:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(page columns but html, target): the URL that a page's canonical link or refresh names, null without one."""
+    """(page columns but html, targets): the URLs that a page's canonical links and refreshes name, each once."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    low = F.when(html.rlike(r"(?i)<link\b|http-equiv"), F.array(F.regexp_extract(html, _LINK, 1), F.regexp_extract(html, _REFRESH, 1))).otherwise(F.array())
-    links = F.filter(low, lambda x: x != "")
-    return pages.withColumn("targets", F.transform(links, lambda x: resolved(F.col("url"), x))).drop("html")
+    found = F.transform(_links(html), lambda x: F.translate(F.btrim(x, F.lit(" \t\n\r\f")), "\t\n\r", ""))
+    links = F.when(html.rlike(r"(?i)<link\b|http-equiv"), F.filter(found, lambda x: x != "")).otherwise(F.expr("cast(array() as array<string>)"))
+    bases = F.when(html.rlike(r"(?i)<base\b"), F.array_compact(F.transform(F.regexp_extract_all(html, F.lit(_TAG % "base"), F.lit(0)), lambda t: _attribute(t, "href"))))
+    pages = pages.withColumn("targets", links).withColumn("_base", F.when(F.size("targets") > 0, F.get(bases, F.lit(0)))).drop("html")
+    pages = pages.withColumn("_base", F.coalesce(resolved(F.col("url"), F.btrim("_base", F.lit(" \t\n\r\f"))), F.col("url")))
+    return pages.withColumn("targets", F.array_distinct(F.array_compact(F.transform("targets", lambda x: resolved(F.when((x == "") | x.startswith("#"), F.col("url")).otherwise(F.col("_base")), x))))).drop("_base")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:

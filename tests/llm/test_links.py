@@ -243,6 +243,36 @@ def test_redirects(spark):
     assert found == {1: ("block", True), 2: ("block", False), 3: ("block", True), 4: ("allow", False), 5: ("allow", False), 6: ("allow", True), 7: ("block", True), 8: ("block", True), 9: ("allow", False), 10: ("allow", True), 11: ("block", False), 12: ("allow", False)}
 
 
+def test_every_link_of_a_page_is_an_edge(spark):
+    link = '<link rel=canonical href="{}">'.format
+    pages = [
+        (1, "http://a.org/", link("http://free.org/") + link("https://m.net/es/1")), (2, "http://b.org/", '<meta http-equiv=refresh content="5;http://free.org/b"><meta http-equiv="refresh" content="0; url=\'https://m.net/es/1\'">'),
+        (3, "http://c.org/", link("https://m.net/es/?x=1&amp;y=2")), (4, "https://m.net/es/?x=1&y=2", None), (5, "http://d.org/", link("http://c.org/p?x=1&#38;y=&#x32;")), (6, "http://c.org/p?x=1&y=2", link("https://m.net/es/1")),
+        (7, "http://e.org/a/b/c", link("../../q/./r/..")), (8, "http://e.org/q/", link("https://m.net/es/1")), (9, "http://f.org/a?p=1", link("?p=2&copy=3")), (10, "http://f.org/a?p=2&copy=3", link("https://m.net/es/1")),
+        (11, "http://g.org/", "<link rel='alternate CANONICAL' title='a > b' href='https://m.net/es/1'>"), (12, "http://h.org/", "<link title='rel=canonical' rel=icon href=https://m.net/es/1><link data-rel=canonical href=https://m.net/es/1>"),
+        (13, "http://i.org/", "<link rel=canonical data-href=http://free.org/ href=https://m.net/es/1>"), (14, "http://j.org/x", link("?u=https://m.net/es/1")), (15, "http://k.org", None), (16, "http://l.org/", link("http://k.org/") + link("http://www.q.com/")),
+        (17, "http://n.org/a/", "<base target=x><base href='//m.net/es/'>" + link("1")),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in url_filter.judge(frame, (("block", "net", "/es/"), ("allow", "com", "/"))).collect()}
+    assert {i for i, v in found.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 17}
+    aliases = {r.page_id for r in url_filter.judge(frame, (("block", "net", "/es/"), ("allow", "com", "/"))).where("aliases").collect()}
+    assert {15, 16} <= aliases and not {12, 14} & aliases
+
+
+def test_entities_and_resolved_links(spark):
+    texts = ["a&amp;b", "&lt;&#228;&#xE4;&#x1F642;&eacute;&notin;", "x&copy=1&amp=2&ampx&amp", "&nosuch;&#0;&#xD800;&#99999999;&#150;&;&", "", "&#00038;#38;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", url_filter.unescaped(F.col("t")).alias("u")).collect()
+    assert [r.u for r in sorted(rows)] == ["a&b", "<ää🙂é∉", "x&copy=1&amp=2&ampx&", "&nosuch;\ufffd\ufffd\ufffd–&;&", "", "&#38;"]
+    links = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "": "http://a/b/c/d;p?q", "#s": "http://a/b/c/d;p?q", ".": "http://a/b/c/",
+        "./": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../../g": "http://a/g", "/./g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./g/.": "http://a/b/c/g/", "g;x=1/../y": "http://a/b/c/y",
+        "g?y/../x": "http://a/b/c/g?y/../x", "x://h/a/%2E%2e/b": "x://h/b", "mailto:x": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in links], "x string").select("x", url_filter.resolved(F.lit("http://a/b/c/d;p?q"), F.col("x")).alias("u")).collect()
+    assert {r.x: r.u for r in rows} == links
+
+
 def test_edited_query_digests(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     want = edited(docs)
