@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact comparison of the shingle sets verifies them.
+"""N-gram Jaccard join: MinHash LSH in bands of one depth finds candidates, exact comparison of the shingle sets verifies them.
 
 1. Every text becomes the set of its word 5-shingles (fewer words: one shingle of all). Texts of equal sets are copies: one
    entry stands for them all, however many there are.
-2. Each of TREES trees sorts the sets by a label of MinHash values of its own; sets under one node share a prefix of the label.
-   The prefix is shortened from LONGEST until ``1 - (1 - threshold**depth)**trees`` reaches the target recall.
+2. Each of TREES trees has a band of MinHash values of its own; sets under one node have the whole band in common. Its depth,
+   at most LONGEST, is fixed beforehand: the greatest whose ``1 - (1 - threshold**depth)**trees`` reaches the target recall.
+   This is no adaptive forest: no node is descended further or shortened, as all pairs are asked for (see the README).
 3. Under each node, sets whose signatures agree in far fewer places than the threshold lets expect are no candidates; the
    others are joined to families (connected components, whose edges are few: a member and the first of its group).
 4. In a family all pairs are compared exactly, in tasks of two blocks of a bounded number of shingles each. What is kept
@@ -36,7 +37,7 @@ _SALTS = 8
 
 
 def depth(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The longest prefix at which the forest finds a pair of just the threshold with the target recall."""
+    """The longest band at which the trees find a pair of just the threshold with the target recall."""
     for k in range(longest, 1, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
