@@ -48,13 +48,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a written table up to which it may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a written table of narrow rows, to be broadcast if a count proves it to have at most ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by a shuffle of both sides and a merge at every size: what is measured on little is what much costs."""
+    return df.hint("merge")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import grouped, map_batches, mix, shuffle_partitions, small, text_chunks, text_key, with_columns, word_hashes, written
+from braidwin.llm.common import grouped, map_batches, mix, shuffle_partitions, shuffled, text_chunks, text_key, with_columns, word_hashes, written
 from braidwin.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -185,7 +185,7 @@ def _verified(docs: DataFrame, text: str, sets: DataFrame, edges: DataFrame, thr
     known = known.join(size, "root").select("set", "copies", "root", "blocks", F.col("rep.doc_id").alias("_d"), F.col("rep.key").alias("_k"))
     known = written(known, "members")
     rows = docs.select("doc_id", text_key(text).alias("key"), F.col(text).alias("text"))
-    rows = rows.join(small(known), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("set", "copies", "root", "blocks", "text")
+    rows = rows.join(shuffled(known), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("set", "copies", "root", "blocks", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -230,7 +230,7 @@ def similar(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, t
     # One set may be that of a third of all documents: its one row here is repeated for each salt that they are split by.
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).withColumnRenamed("set", "_set")
     rows = every.select("doc_id", "key", "set").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(_SALTS)).cast("int"))
-    rows = rows.join(small(salted), (F.col("set") == F.col("_set")) & (F.col("_salt") == F.col("salt")), "left")
+    rows = rows.join(shuffled(salted), (F.col("set") == F.col("_set")) & (F.col("_salt") == F.col("salt")), "left")
     return rows.select(
         "doc_id", "key", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0).cast("long")) + F.coalesce("copies", F.lit(1).cast("long")) - 1).alias("n_links"))
@@ -247,10 +247,10 @@ def first_of_each(docs: DataFrame, text: str = "text", threshold: float = THRESH
     stays = multi.where("doc_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("stay"))
     gone = multi.where("doc_id is not null").join(stays, "class_id").where((F.col("doc_id") != F.col("stay.doc_id")) | (F.col("key") != F.col("stay.key")))
     gone = written(gone.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "gone")
-    kept = docs.withColumn("_key", text_key(text)).join(small(gone), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
+    kept = docs.withColumn("_key", text_key(text)).join(shuffled(gone), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
     again = multi.groupBy("doc_id", "key").count().where("count > 1 and doc_id is not null")
     if again.limit(1).count():  # rows repeated as a whole
-        twice = small(written(again.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), "again"))
+        twice = shuffled(written(again.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), "again"))
         on = (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k"))
         kept = kept.withColumn("_key", text_key(text))
         kept = kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")

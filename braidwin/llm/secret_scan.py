@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import small, text_key, text_of, written
+from braidwin.llm.common import shuffled, text_key, text_of, written
 
 #: kind, pattern, group of the value, least characters of the value, a test that is cheaper than the pattern's matches
 KINDS = (
@@ -113,11 +113,11 @@ def redacted(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
     """``docs`` with its secrets, base and extra spans, replaced in the text; n_chars, if there, counts the new text.
 
-    Only documents with spans are looked up; texts are shuffled only if these are too many to broadcast. Null texts stay null.
+    Texts are shuffled once, to meet their spans, however few these are. Null texts stay null.
     """
     spans = scan(docs, text, owner, repository).select("doc_id", "key", F.concat("base", "extra").alias("_spans")).where(F.size("_spans") > 0).distinct()
     spans = written(spans.withColumns({"_d": F.col("doc_id"), "_k": F.col("key")}).drop("doc_id", "key"), "spans")
-    rows = docs.withColumn("_key", text_key(text)).join(small(spans), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    rows = docs.withColumn("_key", text_key(text)).join(shuffled(spans), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     rows = rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_spans"))))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import chunks, grouped, map_batches, shuffle_partitions, small, span_hashes, text_key, text_of, with_columns, written
+from braidwin.llm.common import chunks, grouped, map_batches, shuffle_partitions, shuffled, span_hashes, text_key, text_of, with_columns, written
 
 MIN = 400
 GRAM = 32
@@ -247,7 +247,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = MIN, keep_first: bo
     docs = docs.drop(*_COLUMNS)
     found = written(spans(docs, text, length, keep_first).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans"), "spans")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.join(small(found), (doc == F.col("_d")) & (text_key(text) == F.col("_k")), "left").drop("_d", "_k")
+    rows = docs.join(shuffled(found), (doc == F.col("_d")) & (text_key(text) == F.col("_k")), "left").drop("_d", "_k")
     data = text_of(text).cast("binary")
     rows = rows.withColumns({"spans": F.coalesce("spans", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")), "n_bytes": F.octet_length(data).cast("long")})
     start = F.struct(F.unhex(F.lit("")).alias("out"), F.lit(0).alias("at"))

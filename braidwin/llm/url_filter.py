@@ -14,12 +14,13 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import small, written
+from braidwin.llm.common import shuffled, written
 from braidwin.llm.components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules stand in the plan itself; more are joined.
 INLINE_RULES = 200
+_SALTS = 8
 # A tag up to its end, ">" in quotes included. All runs are possessive: a page is read once, however broken its tags are.
 _TAG = r"""(?is)<%s(?=[\s/])(?:[^>"']|"[^"]*+"|'[^']*+'|["'])*+"""
 _ATTRIBUTE = r"""(?s)(?<![^\s"'<>/=])([^\s"'<>/=]++)\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+))"""
@@ -164,6 +165,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     # A component's verdict is combined before the shuffle, so the size of a component does not matter.
     by_root = ends.groupBy("root").agg(F.max(F.when(F.col("rule_verdict") == "allow", 2).when(F.col("rule_verdict") == "block", 1).otherwise(0)).alias("_found"))
     by_node = written(ends.select("node", "root").distinct().join(by_root, "root").where("_found > 0").select(F.col("node").alias("_end"), "_found"), "verdicts")
-    out = seen.join(small(by_node), F.col("_node") == F.col("_end"), "left")
+    # A third of all pages may have one URL: its one row here is repeated for each salt that they are split by.
+    salted = by_node.withColumn("_salt_end", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    seen = seen.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)).cast("int"))
+    out = seen.join(shuffled(salted), (F.col("_node") == F.col("_end")) & (F.col("_salt") == F.col("_salt_end")), "left")
     alias = F.when(F.col("_found") == 2, F.lit("allow")).when(F.col("_found") == 1, F.lit("block"))
-    return out.withColumns({"verdict": F.coalesce("rule_verdict", alias, F.lit("allow")), "aliases": F.col("rule_verdict").isNull() & alias.isNotNull()}).drop("_node", "_end", "_found", "targets", "rule_verdict")
+    return out.withColumns({"verdict": F.coalesce("rule_verdict", alias, F.lit("allow")), "aliases": F.col("rule_verdict").isNull() & alias.isNotNull()}).drop("_node", "_end", "_found", "_salt", "_salt_end", "targets", "rule_verdict")

@@ -8,7 +8,7 @@ import pytest
 from conftest_llm import docs_frame
 from pyspark.sql import functions as F
 
-from braidwin.llm import fingerprints, ngram_join, queries, secret_scan, url_filter
+from braidwin.llm import fingerprints, ngram_join, queries, secret_scan, suffix_dedup, url_filter
 from braidwin.llm.components import components
 from braidwin.llm.common import table
 
@@ -98,6 +98,17 @@ def test_links_of_odd_rows(spark, odd):
     assert ngram_join.similar(odd.limit(0)).count() == 0 and ngram_join.first_of_each(odd.limit(0)).count() == 0
 
 
+def test_lookups_join_alike_at_every_size(spark):
+    rng = np.random.default_rng(6)
+    docs = docs_frame(spark, family(rng, 0, 6, 120, 3) + [(50, "password = hunter2hunter2")])
+    pages = spark.createDataFrame([(1, "http://a.net/es/", None), (2, "http://b.org/", "<link rel=canonical href=http://a.net/es/>")], "page_id long, url string, html string")
+    frames = [ngram_join.similar(docs), ngram_join.first_of_each(docs), secret_scan.redact(docs), suffix_dedup.dedup(docs, length=50), url_filter.judge(pages, queries.URL_RULES)]
+    for out in frames:
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+
+
 def edited(docs):
     rows = sorted(docs, key=lambda x: -x[0])
     out = {}
