@@ -6,8 +6,8 @@ that begins no test suffix, or that meets an unknown word before the shortest wi
 window; such suffixes are left out of the array. Every test suffix is then binary-searched in every shard. Windows that
 occur one word after the other along one alignment are one verbatim match, of which length and place are reported.
 
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES; documents pass once for each block, so neither
-side need fit anywhere. Documents are not shuffled where one block is enough.
+The benchmark goes to the executors in blocks of about BLOCK_BYTES, one after the other; documents pass once for each block,
+and what they hit is written, so neither side need fit anywhere. Documents are not shuffled where one block is enough.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import WORD_TABLE, map_batches, text_chunks, text_key, with_columns
+from braidwin.llm.common import WORD_TABLE, map_batches, text_chunks, text_key, with_columns, written
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -88,7 +89,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _longest(doc: np.ndarray, pos: np.ndarray, size: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each document with occurrences: its number, and length, first word and item of its longest verbatim match (ties: the first)."""
+    """For each document with occurrences: its number, and length, first word and item of its longest verbatim match (ties: the first place, then the least id as a string)."""
     order = np.lexsort((pos, pos - place, item, doc))
     doc, pos, size, item, diagonal = doc[order], pos[order], size[order], item[order], (pos - place)[order]
     new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0) | (np.diff(pos) != 1)])
@@ -103,7 +104,8 @@ def _longest(doc: np.ndarray, pos: np.ndarray, size: np.ndarray, item: np.ndarra
 _COLUMNS = {"n_words": "bigint", "hits": "array<struct<lo:bigint,hi:bigint>>", "items": "array<string>", "longest_match": "bigint", "longest_start": "bigint", "longest_item": "string"}
 
 
-def _matches(docs: DataFrame, index: TestIndex, text: str) -> DataFrame:
+def _matches(docs: DataFrame, index: TestIndex, text: str) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with _COLUMNS, and the broadcast index, to be destroyed once the rows are written."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
     spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
@@ -130,10 +132,10 @@ def _matches(docs: DataFrame, index: TestIndex, text: str) -> DataFrame:
                     items[d].append(own.item_ids[k])
                 for d, length, at, k in zip(*(x.tolist() for x in _longest(doc, pos, size, item, place)), strict=True):
                     best[d] = (length, at - int(cuts[d]), own.item_ids[k])
-            items = [sorted(set(x)) for x in items]
+            items = [sorted({k for k in x if k is not None}) for x in items]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(runs, spans_type), pa.array(items, pa.list_(pa.string())), *(pa.array([b[i] for b in best], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], names=[*batch.schema.names, *_COLUMNS])
 
-    return map_batches(docs, matched, with_columns(docs, **_COLUMNS))
+    return map_batches(docs, matched, with_columns(docs, **_COLUMNS)), sent
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -147,29 +149,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) * 2 // block_bytes))
-    found = []
-    for k in range(blocks):
+    def index(k: int) -> TestIndex:
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
-        found.append([(r.id, r.t) for r in block.collect()])
+        return TestIndex(sorted(((r.id, r.t) for r in block.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1])), window)
+
     if blocks == 1:
-        out = _matches(docs, TestIndex(sorted(found[0], key=lambda x: (x[0] or "", x[1])), window), text)
+        out, _ = _matches(docs, index(0), text)
     else:
         key = docs.select("*", text_key(text).alias("_key"))
-        parts = [_matches(key.select("doc_id", "_key", F.col(text).alias("_text")), TestIndex(sorted(x, key=lambda x: (x[0] or "", x[1])), window), "_text").drop("_text") for x in found]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
+        every = None
+        # One block at a time is collected, searched and written; its index is gone before the next is made.
+        for k in range(blocks):
+            part, sent = _matches(key.select("doc_id", "_key", F.col(text).alias("_text")), index(k), "_text")
+            part = written(part.drop("_text").where(F.size("hits") > 0), "block")
+            sent.destroy()
+            every = part if every is None else every.unionByName(part)
         # Most documents match no block: only those that do are grouped, the words are counted by the first pass.
-        best = F.max(F.struct("longest_match", -F.col("longest_start"), "longest_item"))
-        hit = every.where(F.size("hits") > 0).groupBy("doc_id", "_key").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), best.alias("_best"))
+        # Ties as within a block: the first place, then the least item, one without id before all.
+        best = F.min(F.struct((-F.col("longest_match")).alias("n"), "longest_start", "longest_item"))
+        hit = every.groupBy("doc_id", "_key").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), best.alias("_best"))
         hit = hit.withColumns({"_doc": F.col("doc_id"), "_k": F.col("_key")}).drop("doc_id", "_key")
-        counted = _matches(key, TestIndex([], window), text).drop("hits", "items", "longest_match", "longest_start", "longest_item")
+        counted = _matches(key, TestIndex([], window), text)[0].drop("hits", "items", "longest_match", "longest_start", "longest_item")
         joined = counted.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_k")), "left")
         merged = F.expr("""aggregate(array_sort(hits), cast(array() as array<struct<lo:bigint,hi:bigint>>),
             (a, x) -> if(size(a) = 0 or element_at(a, -1).hi < x.lo, array_append(a, x), array_append(slice(a, 1, size(a) - 1), named_struct('lo', element_at(a, -1).lo, 'hi', greatest(element_at(a, -1).hi, x.hi)))))""")
         out = joined.withColumns({
             "hits": F.coalesce(merged, F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<string>)")),
-            "longest_match": F.coalesce("_best.longest_match", F.lit(0)), "longest_start": -F.col("_best.col2"), "longest_item": F.col("_best.longest_item"),
+            "longest_match": F.coalesce(-F.col("_best.n"), F.lit(0)), "longest_start": F.col("_best.longest_start"), "longest_item": F.col("_best.longest_item"),
         }).drop("_doc", "_k", "_best", "_key")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
     out = out.withColumns({"n_hit": n_hit, "items": F.filter("items", lambda x: x.isNotNull())})

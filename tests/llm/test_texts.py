@@ -56,6 +56,20 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert found[60].longest_match >= 20 and found[51].longest_match == 0
 
 
+def test_blocks_find_the_same_longest_match(spark, monkeypatch):
+    common = " ".join(f"w{i}" for i in range(13))
+    items = [(i, f"{common} tail{i}") for i in range(30)] + [(None, common + " none"), (77, "two words")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_frame(spark, [(1, f"head {common} end"), (2, f"{common} tail7 x {common} tail21"), (3, f"{common} none"), (4, "two words"), (5, "no hit")])
+    events, search, write = [], decontaminate._matches, decontaminate.written
+    monkeypatch.setattr(decontaminate, "_matches", lambda *a: events.append("search") or search(*a))
+    monkeypatch.setattr(decontaminate, "written", lambda *a: events.append("written") or write(*a))
+    one, many = ({r.doc_id: (r.longest_match, r.longest_start, r.longest_item, r["items"]) for r in decontaminate.contamination(docs, benchmark, block_bytes=b).collect()} for b in (1 << 20, 300))
+    assert one == many and one[2][:3] == (14, 0, "7")
+    # The block alone, then each block searched and written before the next, then the pass that counts words.
+    assert events[0] == events[-1] == "search" and len(events) > 8 and events[1:-1] == ["search", "written"] * ((len(events) - 2) // 2)
+
+
 def test_decontamination_of_odd_rows_and_empty_tables(spark, odd):
     benchmark = spark.createDataFrame([(1, "one"), (None, "two words"), (2, None)], "item_id long, text string")
     out = decontaminate.contamination(odd, benchmark)
