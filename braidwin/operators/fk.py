@@ -14,10 +14,12 @@ def duplicate_keys(r: DataFrame, within: int | None = None) -> DataFrame:
 
 
 def require_unique(r: DataFrame, within: int | None = None, duplicates: str = "raise") -> DataFrame:
-    """``r`` if its keys are unique; else an error, or with ``duplicates="latest"`` the last row of each key."""
+    """``r`` if its keys are unique; else an error, or with ``duplicates="latest"`` without the rows whose key comes again less
+    than ``within`` positions later (None: ever)."""
     if duplicates == "latest":
-        last = Window.partitionBy("key").orderBy(F.col("pos").desc())
-        return r.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        gap = F.lead("pos").over(Window.partitionBy("key").orderBy("pos")) - F.col("pos")
+        again = gap.isNotNull() if within is None else F.coalesce(gap < within, F.lit(False))
+        return r.withColumn("_again", again).where("not _again").drop("_again")
     if duplicates != "raise":
         raise ValueError(f"duplicates: 'raise' or 'latest', not {duplicates!r}")
     found = duplicate_keys(r, within).first()

@@ -88,6 +88,12 @@ def test_fk_check_and_last_seen(spark):
         fk.require_unique(r, duplicates="first")
 
 
+def test_latest_drops_a_row_only_for_one_within_reach(spark):
+    r = frame(spark, [(0, 1), (1, 2), (2, 1), (3, 3), (4, 2), (5, 1)])
+    kept = lambda within: sorted(x.pos for x in fk.require_unique(r, within, "latest").collect())
+    assert kept(3) == [1, 2, 3, 4, 5] and kept(4) == [3, 4, 5] and kept(2) == [0, 1, 2, 3, 4, 5] and kept(None) == [3, 4, 5]
+
+
 def test_padding(spark):
     rng = np.random.default_rng(5)
     r, s = frame(spark, [(i, i) for i in range(20)]), frame(spark, random_stream(rng, 30, 20, nulls=False))
