@@ -1,8 +1,8 @@
 """Secret scans: patterns find candidates, their ownership over the whole corpus tells examples from live credentials.
 
 DataFrame functions only. ``split`` by a pattern gives the gaps between its matches and ``regexp_extract_all`` the matches;
-the lengths of both, added up, are the matches' places. Candidates are hashed and counted by distinct owners and
-repositories: a value that many owners have is an example that was copied around, one that few have looks live. Named
+the lengths of both, added up, are the matches' places. Candidates are hashed and counted by distinct owners (and
+repositories, which decide nothing): a value that many owners have is an example that was copied around, one that few have looks live. Named
 patterns are always reported; values that only look like keys (long, with letters and digits) are reported where they
 look live.
 """
