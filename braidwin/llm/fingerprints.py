@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from braidwin.llm.common import shuffle_partitions, text_key, text_of
 
 SHINGLE = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 2
 #: Partitions of an ordering by doc_id, at most: their bounds are part of the plan.
 MAX_RANGES = 2000
 
@@ -91,7 +91,8 @@ def edited_pairs(docs: DataFrame, text: str = "text", fraction: float = FRACTION
     the text.
     """
     rows = docs.select("doc_id", text_of(text).alias("t")).withColumn("key", text_key("t"))
-    rows = with_next(with_sketch(rows, "t", "sketch", fraction), "doc_id", ["t", "sketch"], "key")
+    # The next sketch is made again from its text, as sketches of random hashes are as long as the text and don't compress.
+    rows = with_sketch(with_sketch(with_next(rows, "doc_id", ["t"], "key"), "t", "sketch", fraction), "next_t", "next_sketch", fraction)
     rows = rows.withColumn("n_chars", F.length("t").cast("long")).withColumn("k", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("t", F.lit(1), (F.col("n_chars") - F.col("k")).cast("int")), F.substring("next_t", F.lit(1), F.col("k"))))
     return with_sketch(rows.select("doc_id", "n_chars", "edited", "sketch", "next_sketch"), "edited", "edited_sketch", fraction)

@@ -150,6 +150,17 @@ def test_sketches(spark):
     assert set(pairs[4, 1].u) == set(pairs[1, 1].a) | {x for x in pairs[4, 4].a if x < fingerprints._limit(fingerprints.FRACTION)}
 
 
+def test_short_texts_are_told_apart(spark):
+    rng = np.random.default_rng(7)
+    texts = [[f"w{int(x)}" for x in rng.integers(0, 10**6, 24)] for _ in range(200)]
+    pairs = [(i, " ".join(t), " ".join(t[: int(rng.integers(6, 24))] + ["new", "end"])) for i, t in enumerate(texts)]
+    rows = fingerprints.with_sketch(fingerprints.with_sketch(spark.createDataFrame(pairs, "i int, a string, b string"), "a", "sa"), "b", "sb").select("i", fingerprints.likeness("sa", "sb").alias("like")).collect()
+    runs = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    true = {i: len(runs(a.split()) & runs(b.split())) / len(runs(a.split()) | runs(b.split())) for i, a, b in pairs}
+    off = [abs(r.like - true[r.i]) for r in rows]
+    assert np.mean(off) < 0.12 and np.mean(np.array(off) > 0.2) < 0.15
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     rows = fingerprints.edited_pairs(odd).collect()
     assert len(rows) == odd.count()
