@@ -1,4 +1,5 @@
-"""Token counts by section: every document is encoded once as a whole, its tokens' character spans are joined to sections.
+"""Token counts by section: every document is encoded in chunks whose tokens are those of the whole, its tokens' character spans
+are joined to sections.
 
 The encoding is byte-level, so its tokens cover the text without a gap; token spans and section spans are both sorted, and
 the interval join of a document is one merge of the two. A token that crosses a boundary is allocated by RULE:
@@ -48,7 +49,7 @@ def encoder(path: str):
 
 
 def token_bytes(path: str, text: str) -> np.ndarray:
-    """The length in bytes of each token of the whole text."""
+    """The length in bytes of each token of the whole text, encoded chunk by chunk."""
     if path not in _ENCODERS:
         own = encoder(path)
         sizes = np.zeros(own.n_vocab + 1, np.uint16)
