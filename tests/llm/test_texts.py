@@ -1,5 +1,6 @@
 """Decontamination, packing, token counts and suffix dedup against brute force, and odd rows."""
 
+import hashlib
 import re
 import zlib
 
@@ -9,7 +10,10 @@ from conftest_llm import docs_frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from braidwin.llm import decontaminate, packing, suffix_dedup, token_counts
+from braidwin.llm import decontaminate, packing, queries, suffix_dedup, token_counts
+from braidwin.llm.common import table
+
+SF = "/root/testdata/sf0.001"
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -197,6 +201,20 @@ def test_cached_chunks_equal_the_whole_encoding(text):
     assert token_counts.token_bytes(token_counts.default_ranks(), text).tolist() == whole
 
 
+def starts(docs, length):
+    """doc -> its starts of strings of ``length`` bytes that also stand elsewhere."""
+    seen = {}
+    for doc, text in docs:
+        data = (text or "").encode()
+        for i in range(len(data) - length + 1):
+            seen.setdefault(data[i : i + length], []).append(doc)
+    out = dict.fromkeys((doc for doc, _ in docs), 0)
+    for places in seen.values():
+        for doc in places if len(places) > 1 else ():
+            out[doc] += 1
+    return out
+
+
 def removed(docs, length, keep_first):
     """(doc, key in order of text hash is not needed: ids are unique) -> removed places."""
     seen = {}
@@ -222,7 +240,10 @@ def test_repeated_strings(spark, monkeypatch, hot, keep_first):
     docs = [(i, text(int(n)) + (shared if i % 3 else "") + text(20) + (other if i % 2 else "")) for i, n in enumerate(rng.integers(0, 200, 24))]
     docs += [(30, docs[1][1]), (31, docs[1][1]), (32, "ab" * 200), (33, "x" * 300), (34, shared + shared), (35, None), (36, "short"), (37, other[10:] + shared[:70])]
     frame = docs_frame(spark, docs).repartition(3)
-    found = {r.doc_id: r for r in suffix_dedup.dedup(frame, length=60, keep_first=keep_first).collect()}
+    docs_end = [(40, "begin " + shared[:55]), (41, shared[:55])]  # at a text's end, longer than the floor and shorter than the length
+    docs, frame = docs + docs_end, frame.unionByName(docs_frame(spark, docs_end))
+    found = {r.doc_id: r for r in suffix_dedup.dedup(frame, length=60, keep_first=keep_first, floor=45).collect()}
+    factors = starts(docs, 45)
     for doc, gone in removed(docs, 60, keep_first).items():
         data = (dict(docs)[doc] or "").encode()
         r = found[doc]
@@ -230,6 +251,19 @@ def test_repeated_strings(spark, monkeypatch, hot, keep_first):
         assert bytes(r.kept) == bytes(b for i, b in enumerate(data) if i not in gone)
         assert (r.n_bytes, r.n_removed) == (len(data), len(gone))
         assert all(a.hi < b.lo for a, b in zip(r.spans[:-1], r.spans[1:], strict=True))
+        assert r.n_factors == factors[doc], doc
+
+
+def test_the_query_equals_brute_force_over_a_whole_table(spark):
+    docs = sorted((r.doc_id, r.text or "") for r in table(spark, SF, "documents").collect())
+    gone, factors = removed(docs, suffix_dedup.MIN, False), starts(docs, suffix_dedup.FLOOR)
+    rows = {r.doc_id: r for r in queries.op2_suffix_dedup(spark, SF).collect()}
+    assert len(rows) == len(docs) and sum(map(bool, gone.values())) > 10 and any(factors[d] and not gone[d] for d, _ in docs)
+    for doc, text in docs:
+        data, r = text.encode(), rows[doc]
+        kept = bytes(b for i, b in enumerate(data) if i not in gone[doc])
+        n_spans = sum(i - 1 not in gone[doc] for i in gone[doc])
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_factors) == (len(data), len(gone[doc]), n_spans, hashlib.sha256(kept).hexdigest(), factors[doc])
 
 
 def test_repeats_of_odd_rows(spark, odd):
@@ -249,4 +283,10 @@ def test_suffix_ranks():
     for length in (1, 5, 8, 13, 40):
         keys = [data[i : i + length].ljust(length, b"\0") for i in range(len(data))]
         order = {k: n for n, k in enumerate(sorted(set(keys)))}
-        assert [order[k] for k in keys] == suffix_dedup.ranks(buf, length).tolist()
+        assert [order[k] for k in keys] == suffix_dedup.ranks(buf, length)[0].tolist()
+    pair = suffix_dedup.ranks(buf, 13, 40)
+    assert [x.tolist() for x in pair] == [suffix_dedup.ranks(buf, n)[0].tolist() for n in (13, 40)]
+    wide = np.frombuffer(bytes(rng.integers(97, 101, (1 << 21) + 5).astype(np.uint8)), np.uint8)  # places of 22 bits: the other sort
+    at = rng.integers(0, len(wide) - 9, 400)
+    rank, keys = suffix_dedup.ranks(wide, 9)[0][at], [wide[i : i + 9].tobytes() for i in at]
+    assert np.argsort(rank, kind="stable").tolist() == sorted(range(400), key=lambda i: keys[i])
