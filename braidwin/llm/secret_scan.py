@@ -1,10 +1,10 @@
 """Secret scans: patterns find candidates, their ownership over the whole corpus tells examples from live credentials.
 
 DataFrame functions only. ``split`` by a pattern gives the gaps between its matches and ``regexp_extract_all`` the matches;
-the lengths of both, added up, are the matches' places. Candidates are hashed and counted by distinct owners (and
-repositories, which decide nothing): a value that many owners have is an example that was copied around, one that few have looks live. Named
-patterns are always reported; values that only look like keys (long, with letters and digits) are reported where they
-look live.
+the lengths of both, added up, are the matches' places. Candidates are hashed and counted by distinct owners and distinct
+repositories: a value that many owners have, or that some owners have in many repositories, is an example that was copied
+around; one that few have, or one owner alone in however many repositories, looks live. Named patterns are always reported;
+values that only look like keys (long, with letters and digits) are reported where they look live.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
 )
 GENERIC = "generic"
-#: From so many distinct owners on, a value is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A value is a widely copied example from so many distinct owners on, or with more than one owner from so many repositories on.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 _SALTS = 8
 _SPAN = "struct<start:bigint,kind:int,end:bigint,secret:bigint>"
 
@@ -71,22 +71,24 @@ def ownership(found: DataFrame) -> DataFrame:
     """(secret, n_owners, n_repositories) of every candidate value.
 
     Counted in two steps that each combine before they shuffle, so a value in a third of all documents is a few rows a
-    task. A null owner counts as one owner, a null repository as one of its owner's.
+    task. Repositories of one name and two owners are two. A null owner counts as one owner, a null repository as one of its
+    owner's.
     """
     each = found.select(F.explode(F.concat("base", "generic")).alias("s"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
     by_owner = each.groupBy(F.col("s.secret").alias("secret"), "owner", "repository").agg(F.count("*").alias("n")).groupBy("secret", "owner").agg(F.count("*").alias("r"))
     return by_owner.groupBy("secret").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """(doc_id, key, base, extra, n_live, n_example) for every row of ``docs``.
 
     base: the spans of the named patterns. extra: the generic candidates that look live. n_live, n_example: base spans whose
-    value fewer owners, or at least ``example_owners`` of them, have. A null or empty text has no spans; rows that are alike
-    in doc_id and text are judged alike and each stays.
+    value looks live, or is an example: ``example_owners`` owners have it, or two or more have it in ``example_repositories``
+    repositories. A null or empty text has no spans; rows that are alike in doc_id and text are judged alike and each stays.
     """
     found = candidates(docs, text, owner, repository)
-    least = ownership(found).where(F.col("n_owners") >= example_owners).select("secret", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("example"))
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= example_repositories))
+    least = ownership(found).where(copied).select("secret", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("example"))
     # An example's rows may be a third of all: its one row here is repeated for each salt that they are split by.
     each = found.where(F.size("base") + F.size("generic") > 0).select("doc_id", "key", F.explode(F.concat("base", "generic")).alias("s")).distinct()
     each = each.withColumns({"secret": F.col("s.secret"), "salt": F.pmod(F.xxhash64("doc_id", "key", "s.start"), F.lit(_SALTS)).cast("int")}).join(least, ["secret", "salt"], "left")

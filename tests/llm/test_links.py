@@ -210,7 +210,11 @@ def test_owners_tell_examples_from_live_secrets(spark):
     copied, owned, key = "password = hunter2hunter2", "password = 0wn3rsOnlyThing", "Zk39_aPq84-LmN02xYvT7"
     rows = [(i, f"{copied} text {i}", "repo", f"owner{i}") for i in range(6)] + [(10, owned, "a", "me"), (11, owned, "b", "me"), (12, f"see {key} here", "a", "me"), (13, key, "a", "you"), (14, "Rr11_ssTT22-uuVV33xx", "a", "me")]
     rows += [(20 + i, "shared Examp1e_k3y-abcdefghij", "a", f"o{i}") for i in range(3)]
+    rows += [(30 + i, "password = theTwoOwners1 in many", f"r{i}", f"o{i % 2}") for i in range(6)] + [(40 + i, "password = theOnlyOwner2 in many", f"r{i}", "o") for i in range(9)]
+    rows += [(50 + i, "password = theTwoOwners3 in few", f"r{i}", f"o{i % 2}") for i in range(4)]
     found = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    # Two owners with six repositories copied it; one owner's own, in however many repositories, is live, and so is what two have in four.
+    assert {found[i].n_example for i in range(30, 36)} == {1} and {found[i].n_live for i in (*range(40, 49), *range(50, 54))} == {1}
     assert all((found[i].n_live, found[i].n_example) == (0, 1) for i in range(6)) and (found[10].n_live, found[10].n_example) == (1, 0)
     assert len(found[12].extra) == len(found[13].extra) == len(found[14].extra) == 1 and all(len(found[20 + i].extra) == 0 for i in range(3))
 
