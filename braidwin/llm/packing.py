@@ -32,11 +32,11 @@ WINDOW = 4096
 BUCKET = 2048
 FILLER, FILLER_ONE_IN = 32, 64
 END_ID = 2
-#: Bytes of text whose new words are encoded together.
+#: Bytes of text that are encoded together.
 ENCODE_BYTES = 4 << 20
 CACHE_WORDS = 1_000_000
 PUNCTUATION = string.punctuation.encode()
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, _Words] = {}
 #: The characters that byte-level encodings show bytes as: printable ones of Latin-1 as themselves, the others from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _SHOWN = {b: 256 + n for n, b in enumerate(_HIDDEN)}
@@ -77,6 +77,34 @@ def _plain(stem: bytes) -> str | None:
     return None
 
 
+class _Words(dict):
+    """The ids of words, as bytes; a word is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer, known: dict = (), stems: dict = ()) -> None:
+        super().__init__(known)
+        self.tokenizer, self.model, self.stems = tokenizer, tokenizer.model, {**dict(stems), b"": b""}
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem, tail = _parts(word)
+        ids = self.stems.get(stem)
+        if ids is None:
+            ids = self.stem(stem)
+        if tail:
+            end = self.stems.get(tail)
+            ids += self.stem(tail) if end is None else end
+        self[word] = ids
+        return ids
+
+    def stem(self, stem: bytes) -> bytes:
+        shown = _plain(stem)
+        if shown is None:
+            ids = self.tokenizer.encode(stem.decode(errors="replace"), add_special_tokens=False).ids
+        else:  # nothing is normalised or split in a word of small letters: the merges are all there is to do
+            ids = [t.id for t in self.model.tokenize(shown)]
+        ids = self.stems[stem] = array("I", ids).tobytes()
+        return ids
+
+
 def encode(path: str, texts: list[bytes]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -88,45 +116,14 @@ def encode(path: str, texts: list[bytes]) -> list[bytes]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _TOKENIZERS[path] = (tokenizer, tokenizer.model, {}, {b"": b""})
-    tokenizer, model, cache, stems = _TOKENIZERS[path]
-    found, holes, new = [], [], {}
+        _TOKENIZERS[path] = _Words(Tokenizer.from_file(path))
+    words = _TOKENIZERS[path]
+    out = []
     for text in texts:
-        w = text.split()
-        ids = list(map(cache.get, w))
-        at, own = -1, []
-        for _ in range(ids.count(None)):
-            at = ids.index(None, at + 1)
-            own.append((at, w[at]))
-        found.append(ids)
-        holes.append(own)
-        new.update(dict.fromkeys(word for _, word in own))
-    for word in new:
-        new[word] = _parts(word)
-    unknown = {x for pair in new.values() for x in pair} - stems.keys()
-    # Nothing is normalised or split in a word of small letters: the merges are all there is to do.
-    rest = []
-    for x in unknown:
-        shown = _plain(x)
-        if shown is None:
-            rest.append(x)
-        else:
-            stems[x] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
-    unknown = rest
-    for i in range(0, len(unknown), 4096):
-        part = unknown[i : i + 4096]
-        for x, e in zip(part, tokenizer.encode_batch_fast([x.decode(errors="replace") for x in part], add_special_tokens=False), strict=True):
-            stems[x] = np.array(e.ids, "<u4").tobytes()
-    for word, (stem, tail) in new.items():
-        new[word] = stems[stem] + stems[tail] if tail else stems[stem]
-    for ids, own in zip(found, holes, strict=True):
-        for at, word in own:
-            ids[at] = new[word]
-    cache.update(new)
-    if len(cache) + len(stems) > CACHE_WORDS:
-        _TOKENIZERS[path] = (tokenizer, model, dict(islice(cache.items(), CACHE_WORDS // 4)), dict(islice(stems.items(), CACHE_WORDS // 4)))
-    return list(map(b"".join, found))
+        out.append(b"".join(map(words.__getitem__, text.split())))
+        if len(words) + len(words.stems) > CACHE_WORDS:
+            words = _TOKENIZERS[path] = _Words(words.tokenizer, islice(words.items(), CACHE_WORDS // 4), islice(words.stems.items(), CACHE_WORDS // 4))
+    return out
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
