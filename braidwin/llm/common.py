@@ -40,14 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: ``df`` as a Parquet table in the shared folder, removed when the JVM ends."""
+    """Cut the lineage: ``df`` as a Parquet table in the shared folder, removed by ``remove`` or when the JVM ends."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"braidwin-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = hpath
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes what ``written`` gave, once all that is made of it is written itself (so nothing lost has to be made of it again)."""
+    for df in tables:
+        df._written.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df._written, True)
 
 
 def shuffled(df: DataFrame) -> DataFrame:

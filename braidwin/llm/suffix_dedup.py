@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.llm.common import chunks, grouped, map_batches, shuffle_partitions, shuffled, span_hashes, text_key, text_of, with_columns, written
+from braidwin.llm.common import chunks, grouped, map_batches, remove, shuffle_partitions, shuffled, span_hashes, text_key, text_of, with_columns, written
 
 MIN = 400
 #: Bytes from which on a factor is counted: what some 50 words have.
@@ -257,6 +257,7 @@ def spans(docs: DataFrame, text: str = "text", length: int = MIN, keep_first: bo
     kinds = written(kinds, "kinds")
     anchors = kinds.groupBy("h").agg(F.count("*").alias("d"), F.sum("n").alias("total")).where("total > 1")
     open_ = written(kinds.join(anchors, "h").drop("total"), "repeated")
+    remove(kinds)
     # Where one kind of segment is all an anchor has, it repeats as a whole, but for strings that the text is too short for.
     whole = f"cast(filter(array(named_struct('a', 0, 'b', rep.hi - rep.lo - rep.over, 'first', true)), x -> x.b >= 0) as {_RUNS})"
     alone = open_.where("d = 1").select("h", "seg", F.expr("cast(rep.hi - rep.lo + 1 as bigint)").alias("starts"), F.expr(whole).alias("runs"))
@@ -270,6 +271,8 @@ def spans(docs: DataFrame, text: str = "text", length: int = MIN, keep_first: bo
         judged = judged.unionByName(_counted(cut.where(F.col("d") > HOT), length, floor))
     reps = open_.select("h", "seg", F.col("rep.doc_id").alias("r_doc"), F.col("rep.key").alias("r_key"), F.col("rep.lo").alias("r_lo"))
     runs = written(alone.unionByName(judged).where("starts > 0"), "runs")
+    if hot:
+        remove(cut)
     placed = every.join(runs.join(reps, ["h", "seg"]) if keep_first else runs, ["h", "seg"])
     own = F.col("runs")
     if keep_first:
