@@ -2,7 +2,7 @@
 
 1. quality: documents that the classifier rejects go.
 2. near_duplicates: of each class of near copies one document stays, that of the least doc_id.
-3. decontamination: documents with too much of the benchmark go.
+3. decontamination: documents with any passage of the benchmark go, however long they are.
 4. secrets: credentials are replaced in the text; every document stays.
 5. packing: the documents' tokens in windows, a row for each piece.
 
@@ -12,7 +12,6 @@ All but the last return the columns of documents. Null texts count as empty; equ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from braidwin.llm import decontaminate, ngram_join, packing, quality, secret_scan
 from braidwin.llm.common import table, written
@@ -28,7 +27,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
