@@ -1,4 +1,5 @@
 import corpus_pipeline as pipeline
+import duckdb
 import pytest
 from conftest_llm import docs_frame
 from test_links import linked, spans
@@ -41,6 +42,17 @@ def test_stages_of_odd_rows_and_empty_tables(spark, odd, n):
     assert stage(spark, odd.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    rows, result = queries.queries()[name](spark, SF), con.sql(queries.SQL[name])
+    columns = sorted(rows.columns)
+    assert sorted(result.columns) == columns
+    assert sorted(repr([r[c] for c in columns]) for r in rows.collect()) == sorted(repr([r[result.columns.index(c)] for c in columns]) for r in result.fetchall())
+
+
 def test_the_queries_are_registered(spark):
     import __spark_entry__ as entry
 
