@@ -92,20 +92,21 @@ def delta(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int,
     return by_r.select("k", *PAIR_COLUMNS).unionByName(by_s.select("k", *PAIR_COLUMNS))
 
 
-def _snapshots(df: DataFrame, side: Side, batches: int) -> DataFrame:
-    """Each row once for each batch at whose end it is in the window or new; fresh: it is new there."""
+def _lifetimes(df: DataFrame, side: Side, batches: int, length: int) -> DataFrame:
+    """Each row with a and b, the first and last batch at whose end it is in the window or new, once for each stretch (of
+    ``length`` batches) that they touch: two of them, but for the rows that stay in the window of a stream that has ended."""
     pos = F.col("pos")
     first = F.greatest(F.floor((pos - side.window) / side.batch), F.lit(0))
     last = F.when(pos >= side.rows - side.window, batches - 1).otherwise(F.least(F.floor(pos / side.batch), F.lit(batches - 1)))
-    rows = df.where(F.col("key").isNotNull()).withColumns({"_a": first.cast("long"), "_b": last.cast("long")}).where("_a <= _b")
-    out = rows.withColumn("k", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
-    return out.withColumn("fresh", pos >= side.filled(F.col("k")))
+    rows = df.where(F.col("key").isNotNull()).select(*COLUMNS).withColumns({"a": first.cast("long"), "b": last.cast("long")}).where("a <= b")
+    return rows.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("a") / length), F.floor(F.col("b") / length))))
 
 
-def _by_batch(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _alive(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> tuple[DataFrame, DataFrame, tuple[Side, Side], int]:
     a, b = sides(r, s, window, batch)
+    length = max(-(-a.window // a.batch), -(-b.window // b.batch)) + 1
     batches = max(a.batches, b.batches, 0)
-    return _snapshots(r, a, batches), _snapshots(s, b, batches)
+    return _lifetimes(r, a, batches, length), _lifetimes(s, b, batches, length), (a, b), length
 
 
 def joined_by_batch(rr: DataFrame, ss: DataFrame) -> DataFrame:
@@ -115,20 +116,34 @@ def joined_by_batch(rr: DataFrame, ss: DataFrame) -> DataFrame:
 
 
 def snapshot(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> DataFrame:
-    """Batch by batch, both windows and new rows joined anew: a pair comes in every batch in which both are there."""
-    return joined_by_batch(*_by_batch(r, s, window, batch)).select("k", *PAIR_COLUMNS)
+    """Batch by batch, both windows and new rows joined anew: a pair comes in every batch in which both are there.
+
+    A pair is found once, in the stretch of its first common batch, and then repeated for each of its batches.
+    """
+    rr, ss, _, length = _alive(r, s, window, batch)
+    left, right = (_named(df, side).withColumnsRenamed({c: f"_{side}_{c}" for c in ("a", "b", "stretch")}) for df, side in ((rr, "r"), (ss, "s")))
+    first, last = F.greatest("_r_a", "_s_a"), F.least("_r_b", "_s_b")
+    pairs = left.join(right, (F.col("r_key") == F.col("s_key")) & (F.col("_r_stretch") == F.col("_s_stretch")) & (first <= last) & (F.col("_r_stretch") == F.floor(first / length)))
+    return pairs.select(F.explode(F.sequence(first, last)).alias("k"), *PAIR_COLUMNS)
 
 
 def rect(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> DataFrame:
     """Batch by batch, the blocks of a key that new rows contribute to: new rows join all, and if a key has new rows on both
-    sides, its old rows join each other again."""
-    rr, ss = _by_batch(r, s, window, batch)
+    sides, its old rows join each other again.
+
+    The former are the pairs of ``delta``. For the latter only the old rows of keys with new rows on both sides are looked at,
+    and only in those batches.
+    """
+    rr, ss, (a, b), length = _alive(r, s, window, batch)
+    new = [df.select("key", side.batch_of(F.col("pos")).alias("k")).where("k >= 0").distinct() for df, side in ((r, a), (s, b))]
+    both = new[0].join(new[1], ["key", "k"]).select(F.col("key").alias("_key"), "k", F.floor(F.col("k") / length).alias("_stretch"))
 
-    def contributing(rows: DataFrame, other: DataFrame) -> DataFrame:
-        new = other.where("fresh").select("k", "key").distinct().withColumn("touched", F.lit(True))
-        return rows.join(new, ["k", "key"], "left").where("fresh or touched")
+    def old(rows: DataFrame, side: Side) -> DataFrame:
+        found = rows.join(both, (F.col("key") == F.col("_key")) & (F.col("stretch") == F.col("_stretch")) & F.col("k").between(F.col("a"), F.col("b")) & (F.col("pos") < side.filled(F.col("k"))))
+        return found.select(*COLUMNS, "k", F.lit(False).alias("fresh"))
 
-    return joined_by_batch(contributing(rr, ss), contributing(ss, rr)).select("k", *PAIR_COLUMNS)
+    again = joined_by_batch(old(rr, a), old(ss, b)).select("k", *PAIR_COLUMNS)
+    return delta(r, s, window, batch).unionByName(again)
 
 
 def static(r: DataFrame, s: DataFrame) -> DataFrame:

@@ -1,32 +1,56 @@
 """Arrival positions and running counts without bringing a stream into one partition.
 
-Rows are dealt into ranges of the order's first column. A running sum over the few ranges gives each its offset, a window
-function inside the range the rest; both need the rows dealt by range, which is one shuffle.
+Rows are dealt into ranges of the order's first column, and of its second where one value of the first fills ranges of its own.
+A running sum over the few ranges gives each its offset, a window function inside the range the rest; both need the rows
+dealt by range, which is one shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RANGES = 1000
+#: More than any position: puts all rows of one side before those of the other.
+_FAR = 1 << 44
 
 
-def range_of(df: DataFrame, column: str, ranges: int | None = None) -> Column:
-    """The number of the range that a row's ``column`` (a number or time) lies in; bounds are estimated quantiles, nulls come first."""
+_NUMBERS = ("bigint", "int", "smallint", "tinyint", "double", "float")
+
+
+def range_of(df: DataFrame, column: str, ranges: int | None = None, then: Column | str | None = None) -> Column:
+    """The number of the range that a row's ``column`` (a number or time) lies in; bounds are estimated quantiles, nulls come first.
+
+    A value that several quantiles fall on has as many ranges, by the quantiles of ``then`` (a number) among its own rows, so
+    a time that a third of all rows share isn't one task's work. Without ``then`` all rows of a value are in one range.
+    """
     if ranges is None:
         ranges = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if ranges < 2:
         return F.lit(0)
     kind = dict(df.dtypes)[column]
-    value = F.col(column) if kind in ("bigint", "int", "smallint", "tinyint", "double", "float") else F.unix_micros(F.col(column).cast("timestamp"))
-    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
+    value = F.col(column) if kind in _NUMBERS else F.unix_micros(F.col(column).cast("timestamp"))
+    found = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    times = Counter(found)
+    cuts = sorted(times)
     if not cuts:
         return F.lit(0)
-    return F.when(value.isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)))
+    known = F.array(*[F.lit(c) for c in cuts])
+    at = F.size(F.filter(known, lambda c: c <= value))
+    often = [c for c in cuts if times[c] > 1]
+    if then is not None and often:
+        second = F.col(then) if isinstance(then, str) else then
+        most = max(times.values())
+        rows = df.where(value.isin(often)).groupBy(value.alias("v")).agg(F.percentile_approx(second, [i / most for i in range(1, most)], 10 * ranges).alias("q"))
+        # As many cuts within a value as it has quantiles more than one: no more than ``ranges`` in all.
+        inner = {r.v: sorted({r.q[(i * most) // times[r.v] - 1] for i in range(1, times[r.v])}) for r in rows.collect() if r.q}
+        lists = F.array(*[F.array(*[F.lit(x) for x in inner.get(c, [])]).cast("array<double>") for c in cuts])
+        own = F.size(F.filter(F.get(lists, at - 1), lambda c: c <= second))
+        at = at * (ranges + 2) + F.when(F.get(known, at - 1) == value, own).otherwise(ranges + 1)
+    return F.when(value.isNull(), -1).otherwise(at)
 
 
 def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], bucket: Column) -> DataFrame:
@@ -46,7 +70,7 @@ def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column
 def with_pos(df: DataFrame, order: Sequence[str], bucket: Column | None = None, name: str = "pos") -> DataFrame:
     """``df`` with its rows' 0-based arrival position in ``order``, which must be total (end it with a unique column)."""
     if bucket is None:
-        bucket = range_of(df, order[0])
+        bucket = range_of(df, order[0], then=order[1] if len(order) > 1 and dict(df.dtypes).get(order[1]) in _NUMBERS else None)
     return running(df, list(order), {name: F.lit(1)}, bucket).withColumn(name, F.col(name) - 1)
 
 
@@ -60,8 +84,9 @@ def merged_counts(r: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
         df.select("ts", F.col("key").cast(key).alias("key"), *[(F.col("payload") if side == own else F.lit(None).cast(other.schema["payload"].dataType)).alias(f"_payload_{own}") for own, other in ((1, r), (0, s))], "pos", F.lit(side).alias("side"))
         for side, df in ((1, r), (0, s))
     ]
-    times = r.select("ts").union(s.select("ts"))
-    counted = running(parts[0].unionByName(parts[1]), ["ts", "side", "pos"], {"n_r": F.col("side"), "n_s": 1 - F.col("side")}, range_of(times, "ts"))
+    both = parts[0].unionByName(parts[1])
+    bucket = range_of(both.select("ts", "side", "pos"), "ts", then=F.col("side") * F.lit(_FAR) + F.col("pos"))
+    counted = running(both, ["ts", "side", "pos"], {"n_r": F.col("side"), "n_s": 1 - F.col("side")}, bucket)
     columns = ["ts", "key", "payload", "pos"]
     rr = counted.where("side = 1").withColumnsRenamed({"_payload_1": "payload", "n_s": "ns"}).select(*columns, "ns")
     ss = counted.where("side = 0").withColumnsRenamed({"_payload_0": "payload", "n_r": "nr"}).select(*columns, "nr")
@@ -72,4 +97,5 @@ def merge_order(r: DataFrame, s: DataFrame) -> DataFrame:
     """Both streams as one (side, ts, key, payload, pos) with turn, the 0-based place in the merge by (ts, S before R, pos)."""
     both = r.withColumn("side", F.lit("R")).unionByName(s.withColumn("side", F.lit("S")))
     rank = F.when(F.col("side") == "S", 0).otherwise(1)
-    return running(both, ["ts", rank, "pos"], {"turn": F.lit(1)}, range_of(both, "ts")).withColumn("turn", F.col("turn") - 1)
+    bucket = range_of(both, "ts", then=rank * F.lit(_FAR) + F.col("pos"))
+    return running(both, ["ts", rank, "pos"], {"turn": F.lit(1)}, bucket).withColumn("turn", F.col("turn") - 1)

@@ -38,12 +38,22 @@ def measured(r: DataFrame, s: DataFrame | None, config: JoinConfig) -> DataFrame
     return r.sparkSession.createDataFrame([(name, matches, emitted or 0, max(0, tuples), us, max(0, tuples) / us)], SCHEMA)
 
 
-def stream_figures(query, first: int = 100) -> dict:
-    """Of a streaming query: its batches and rows, rows a second, and the mean milliseconds of its first batches (those it still knows)."""
+def stream_figures(query, firsts: Sequence[int] = (100, 1000)) -> dict:
+    """Of a streaming query: its batches and rows, rows a second, the mean milliseconds of its first batches, and of the whole time
+    the share of each phase (what Spark reports of a trigger: offsets, planning, execution, commit).
+
+    A query knows as many batches as ``spark.sql.streaming.numRecentProgressUpdates``: 100 unless that is raised.
+    """
     batches = [p for p in query.recentProgress if p["numInputRows"]]
     ms = [p["durationMs"].get("triggerExecution", 0) for p in batches]
     rows = sum(p["numInputRows"] for p in batches)
-    return {"batches": len(batches), "rows": rows, "rows_per_second": 1000 * rows / max(1, sum(ms)), "mean_latency_ms": sum(ms[:first]) / max(1, len(ms[:first]))}
+    phases: dict[str, float] = {}
+    for p in batches:
+        for name, spent in p["durationMs"].items():
+            if name != "triggerExecution":
+                phases[name] = phases.get(name, 0) + spent / max(1, sum(ms))
+    latency = {f"mean_latency_ms_first_{n}": sum(ms[:n]) / max(1, len(ms[:n])) for n in firsts}
+    return {"batches": len(batches), "rows": rows, "rows_per_second": 1000 * rows / max(1, sum(ms)), **latency, "phase_shares": phases}
 
 
 def repeated(run, times: int) -> tuple[float, Sequence[float]]:

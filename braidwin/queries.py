@@ -247,8 +247,8 @@ ALL["ring_counts"] = (lambda spark, d: keyed.ring(clicks(spark, d), 64).select("
 
 
 def _probe(df: DataFrame) -> DataFrame:
-    at = df.where("pos = 17").select(F.col("key").alias("_k"), F.col("ts").alias("_t"))
-    return df.join(at, (F.col("key") == F.col("_k")) & (F.col("ts") == F.col("_t"))).select("key", "payload", "pos", "ts")
+    at = df.where("pos = 17").first()
+    return keyed.lookup(df, at.key, at.ts).select("key", "payload", "pos", "ts")
 
 
 def _weighted(spark, d) -> DataFrame:
@@ -275,7 +275,9 @@ _TAGGED = f"{_with('customers', 'orders')}, t AS (SELECT 'R' AS side, * FROM r U
 ALL["merge_tagged"] = (lambda spark, d: fk.tagged(customers(spark, d), orders(spark, d)).select("side", "ts", "key", "payload", "pos")), f"{_TAGGED} SELECT side, ts, key, payload, pos FROM t"
 ALL["sort_by_key_side"] = (lambda spark, d: _numbered(fk.tagged(customers(spark, d), orders(spark, d)), ["key", "side", "pos"]).select("side", "key", "pos", "place")), f"{_TAGGED} SELECT side, key, pos, ROW_NUMBER() OVER (ORDER BY key, side, pos) - 1 AS place FROM t"
 ALL["sorted_scan"] = (lambda spark, d: rearrange.in_order(orders(spark, d).select("key", "pos"), F.col("key").desc(), "pos")), f"SELECT key, pos FROM ({SQL_STREAMS['orders']}) ORDER BY key DESC, pos"
-ALL["is_sorted"] = (lambda spark, d: rearrange.is_sorted(orders(spark, d), "ts")), "SELECT true AS sorted"
+ALL["is_sorted"] = (lambda spark, d: rearrange.is_sorted(orders(spark, d), "ts").select(F.lit("ts").alias("column"), "sorted").union(rearrange.is_sorted(orders(spark, d), "key").select(F.lit("key"), "sorted"))), f"""WITH s AS ({SQL_STREAMS['orders']}),
+x AS (SELECT ts, key, LAG(ts) OVER (ORDER BY pos) AS ts_before, LAG(key) OVER (ORDER BY pos) AS key_before FROM s)
+SELECT 'ts' AS "column", COUNT(*) FILTER (ts < ts_before) = 0 AS sorted FROM x UNION ALL SELECT 'key', COUNT(*) FILTER (key < key_before) = 0 FROM x"""
 ALL["next_tuple_order"] = (lambda spark, d: position.merge_order(clicks(spark, d), purchases(spark, d)).select("side", "pos", "turn")), f"{_with('clicks', 'purchases')}, t AS (SELECT 'R' AS side, 1 AS rank, * FROM r UNION ALL SELECT 'S', 0, * FROM s) SELECT side, pos, ROW_NUMBER() OVER (ORDER BY ts, rank, pos) - 1 AS turn FROM t"
 ALL["micro_batches"] = (lambda spark, d: _slices(orders(spark, d))), f"SELECT CASE WHEN pos < 512 THEN -1 ELSE CAST(FLOOR((pos - 512) / 256) AS BIGINT) END AS k, COUNT(*) AS n, MIN(pos) AS first, MAX(pos) AS last FROM ({SQL_STREAMS['orders']}) GROUP BY 1"
 ALL["positional_zip"] = (lambda spark, d: rearrange.zipped(clicks(spark, d).select(F.col("payload").alias("left_id")), purchases(spark, d).select(F.col("payload").alias("right_id")), (["left_id"], ["right_id"]))), f"{_with('clicks', 'purchases')}, a AS (SELECT payload AS left_id, ROW_NUMBER() OVER (ORDER BY payload) - 1 AS place FROM r), b AS (SELECT payload AS right_id, ROW_NUMBER() OVER (ORDER BY payload) - 1 AS place FROM s) SELECT place, left_id, right_id FROM a JOIN b USING (place)"
@@ -345,6 +347,7 @@ ALL["generate_zipf"] = (lambda spark, d: generators.zipf_keys(spark, 20000, 100,
 ALL["generate_spread"] = (lambda spark, d: _shape(generators.spread_keys(spark, 100, 10000))), f"SELECT {_GIVEN.format(100, 100, 1, 9901, 100)}"
 ALL["generate_listed"] = (lambda spark, d: generators.listed_keys(customers(spark, d), 3000).select("key").distinct().join(customers(spark, d).select("key"), "key", "left_anti").agg(F.count("*").alias("strangers"))), "SELECT CAST(0 AS BIGINT) AS strangers"
 ALL["generate_repeated"] = (lambda spark, d: generators.repeated_keys(customers(spark, d), 3).groupBy("key").agg(F.count("*").alias("n"))), "SELECT c_custkey AS key, CAST(3 AS BIGINT) AS n FROM customer"
+ALL["generate_repeated_sorted"] = (lambda spark, d: generators.repeated_keys(customers(spark, d), 3, sort=True).select("pos", "key")), "SELECT ROW_NUMBER() OVER (ORDER BY c_custkey, i) - 1 AS pos, c_custkey AS key FROM customer, RANGE(3) t(i)"
 ALL["generate_times"] = (lambda spark, d: rearrange.is_sorted(generators.uniform_keys(spark, 20000, 20, rate=1000), "ts")), "SELECT true AS sorted"
 ALL["throughput_metrics"] = (lambda spark, d: metrics.measured(customers(spark, d), orders(spark, d), JoinConfig(alg="FK-MERG-L4", r_window=512, s_window=512, r_batch=64, s_batch=256, fk_join=True))), None
 

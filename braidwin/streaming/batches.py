@@ -71,8 +71,11 @@ class BatchJoin:
 
 
 def scratch(spark) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or of the driver's own where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braidwin-")
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or of its own where that is unset, which only one machine (tests) may do."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="braidwin-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 

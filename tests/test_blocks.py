@@ -4,7 +4,7 @@ from helpers import frame, random_stream
 from pyspark.sql import functions as F
 
 from braidwin.functions import crypto, scalar
-from braidwin.operators import keyed, position, rearrange
+from braidwin.operators import fk, keyed, position, rearrange
 
 
 def test_positions_with_ties_nulls_and_times(spark):
@@ -75,3 +75,39 @@ def test_scalars(spark):
     assert (row.a, row.b, row.c, row.d) == (3 * 2097152 + 500_000_000 * 2097152 // 999_999_999, None, 5, 6)
     with pytest.raises(ValueError):
         scalar.bucket(F.lit(1), 6)
+
+
+def test_ranges_split_a_value_that_most_rows_share(spark):
+    """One time for two thirds of the rows: they lie in several ranges, in the order of the second column."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1500).alias("ts"), ((F.col("id") * 7) % 3000).alias("pos"))
+    at = position.range_of(rows, "ts", 8, "pos")
+    counts = {x.r: x["count"] for x in rows.select(at.alias("r")).groupBy("r").count().collect()}
+    assert max(counts.values()) < 700 and max(x["count"] for x in rows.select(position.range_of(rows, "ts", 8).alias("r")).groupBy("r").count().collect()) >= 2000
+    placed = [(x.ts, x.pos) for x in position.with_pos(rows, ["ts", "pos"], at, name="place").orderBy("place").collect()]
+    assert placed == sorted(placed)
+
+
+def test_one_time_and_one_key_for_all_rows(spark):
+    df = frame(spark, [(5, 1)] * 4000)
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    try:
+        assert [x.rank for x in keyed.ranked(df).orderBy("pos").collect()] == list(range(4000))
+        found = keyed.successor(df)
+        assert found.where("next_ts is null").count() == 1 and found.where("next_ts = 5").count() == 3999
+        at = position.range_of(df, "ts", then="pos")
+        assert df.select(at.alias("r")).groupBy("r").count().agg(F.max("count")).first()[0] < 1000
+        left, right = position.merged_counts(df, df)
+        assert {x.ns for x in left.collect()} == {4000} and {x.nr for x in right.collect()} == {0}
+        assert fk.duplicate_keys(df, 64).count() == fk.duplicate_keys(df).count() == 3999
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_a_key_in_several_stretches_of_positions(spark):
+    """Positions far apart: rings, gaps and last rows of a key do not end where a stretch does."""
+    at = [0, 65_530, 65_535, 65_536, 65_539, 131_071, 131_072, 131_080, 400_000]
+    df = spark.createDataFrame([(t, 1, 0, p) for t, p in enumerate(at)], "ts long, key long, payload long, pos long")
+    assert {x.pos: x.in_ring for x in keyed.ring(df, 10).collect()} == {p: sum(p - 10 < q <= p for q in at) for p in at}
+    assert sorted(x.pos for x in fk.duplicate_keys(df, 6).collect()) == [65_535, 65_536, 65_539, 131_072]
+    assert sorted(x.pos for x in fk.require_unique(df, 6, "latest").collect()) == [0, 65_539, 131_072, 131_080, 400_000]
+    assert [x.pos for x in fk.require_unique(df, duplicates="latest").collect()] == [400_000]
