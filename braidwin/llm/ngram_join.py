@@ -1,17 +1,22 @@
-"""N-gram Jaccard join: MinHash LSH in bands of one depth finds candidates, exact comparison of the shingle sets verifies them.
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact comparison of the shingle sets verifies them.
 
 1. Every text becomes the set of its word 5-shingles (fewer words: one shingle of all). Texts of equal sets are copies: one
    entry stands for them all, however many there are.
-2. Each of TREES trees has a band of MinHash values of its own; sets under one node have the whole band in common. Its depth,
-   at most LONGEST, is fixed beforehand: the greatest whose ``1 - (1 - threshold**depth)**trees`` reaches the target recall.
-   This is no adaptive forest: no node is descended further or shortened, as all pairs are asked for (see the README).
-3. Under each node, sets whose signatures agree in far fewer places than the threshold lets expect are no candidates; the
+2. Each of TREES trees gives a set a label of LONGEST MinHash values. A tree is a trie of the labels: a node of depth d is
+   all sets whose labels begin with the same d values. No prefix need be shorter than ``depth``: the greatest whose
+   ``1 - (1 - threshold**depth)**trees`` reaches the target recall.
+3. A node of that depth with at most NODE_BLOCK sets is a leaf. A more crowded one is descended, a value at a time, until its
+   part holds no more. That makes a set's matched prefixes longer and its recall lower, so they are shortened again, set by
+   set, until ``1 - product(1 - threshold**d)`` over the depths of its leaves in all trees reaches the target. A node that one
+   set is shortened to is the leaf of all sets below it. So what shares a few values in some trees is told apart there, and
+   what is alike in all trees is looked at under short prefixes, however crowded.
+4. Under each leaf, sets whose signatures agree in far fewer places than the threshold lets expect are no candidates; the
    others are joined to families (connected components, whose edges are few: a member and the first of its group).
-4. In a family all pairs are compared exactly, in tasks of two blocks of a bounded number of shingles each. What is kept
+5. In a family all pairs are compared exactly, in tasks of two blocks of a bounded number of shingles each. What is kept
    is one row for each member and task: how many documents it is linked to there, and one it is linked with. So a family
    of any size is spread over many tasks, and no pair of it is ever a row.
 
-Nodes of many members are likewise compared block by block.
+Leaves that stay crowded are likewise compared block by block.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 16, 8, 0.999
 #: Standard deviations below the threshold at which a signature still makes a candidate.
 SLACK = 4.5
-#: Sets under a node, and shingles and sets of a family, that are looked at together at most (twice as many: a pair of blocks).
+#: Sets under a leaf, and shingles and sets of a family, that are looked at together at most (twice as many: a pair of blocks).
 NODE_BLOCK, FAMILY_SHINGLES, FAMILY_BLOCK = 512, 400_000, 256
 _SALTS = 8
+#: Bytes of a MinHash value.
+_WIDTH = 2
 
 
 def depth(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The longest band at which the trees find a pair of just the threshold with the target recall."""
+    """The longest prefix at which the trees find a pair of just the threshold with the target recall."""
     for k in range(longest, 1, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
@@ -69,11 +76,11 @@ def _factors(n: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """MinHash values, 32 bits each, of a set that is not empty."""
+    """MinHash values, 16 bits each, of a set that is not empty."""
     low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 4096):
         low = np.minimum(low, (hashes[i : i + 4096, None] * factors).min(axis=0))
-    return (low >> np.uint64(32)).astype("<u4")
+    return (mix(low) >> np.uint64(48)).astype("<u2")
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -98,10 +105,10 @@ def _blocks(group: Column, n: Column, key: Column) -> Column:
     return F.explode(pair)
 
 
-def _sets(docs: DataFrame, text: str, trees: int, k: int) -> DataFrame:
+def _sets(docs: DataFrame, text: str, trees: int) -> DataFrame:
     """(doc_id, key, set, n, sig) of every document; set is null without words."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors(trees * k)
+        factors = _factors(trees * LONGEST)
         for batch, texts in text_chunks(batches, text):
             sets = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays([
@@ -113,16 +120,56 @@ def _sets(docs: DataFrame, text: str, trees: int, k: int) -> DataFrame:
     return map_batches(rows, found, with_columns(rows.select("doc_id", "key"), set="binary", n="bigint", sig="binary"))
 
 
-def _candidates(sets: DataFrame, trees: int, k: int, threshold: float) -> DataFrame:
+def _node(tree: Column, d: Column) -> Column:
+    """The node of a tree that has the first ``d`` values of a set's label."""
+    return F.xxhash64(tree, F.col("sig").substr(tree * F.lit(_WIDTH * LONGEST) + 1, d * F.lit(_WIDTH)))
+
+
+def _salted(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+
+def _leaves(sets: DataFrame, trees: int, k: int, threshold: float, recall: float) -> DataFrame:
+    """(set, node, size): the leaf of each set in each tree, where it isn't the only one there."""
+    salt = F.pmod(F.xxhash64("set"), F.lit(_SALTS)).cast("int").alias("salt")
+    nodes = sets.select("set", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _node(t, F.lit(k)))).alias("tree", "node"))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    under = written(nodes.select("*", salt).join(_salted(shared), ["node", "salt"]).select("set", "tree", "node", "size"), "nodes")
+    few, many = under.where(F.col("size") <= NODE_BLOCK).select("set", "node", "size"), under.where(F.col("size") > NODE_BLOCK)
+    if not many.limit(1).count():
+        return few
+    # The way from each crowded node to the end of the label, with the sets of each node on it.
+    ways = many.select("set", "tree").join(sets.select("set", "sig"), "set")
+    ways = ways.select("set", "tree", salt, F.posexplode(F.transform(F.sequence(F.lit(k), F.lit(LONGEST)), lambda d: _node(F.col("tree"), d))).alias("depth", "node"))
+    ways = ways.withColumn("depth", F.col("depth") + k)
+    ways = written(ways.join(shuffled(_salted(ways.groupBy("node").agg(F.count("*").alias("size")))), ["node", "salt"]), "ways")
+    # How deep each set would go in each tree, and the greatest depth that its recall allows for all of them.
+    deep = ways.groupBy("set", "tree").agg(F.coalesce(F.min(F.when(F.col("size") <= NODE_BLOCK, F.col("depth"))), F.lit(LONGEST)).alias("deep"))
+    deep = deep.groupBy("set").agg(F.collect_list(F.struct("tree", "deep")).alias("deep"))
+
+    def missed(most: int) -> Column:
+        part = F.aggregate("deep", F.lit(1.0), lambda p, x: p * (1 - F.pow(F.lit(threshold), F.least(x["deep"], F.lit(most)))))
+        return part * F.pow(F.lit(1 - threshold**k), trees - F.size("deep"))
+
+    most = F.lit(k)
+    for d in range(k + 1, LONGEST + 1):
+        most = F.when(missed(d) <= 1 - recall, F.lit(d)).otherwise(most)
+    deep = deep.select("set", most.alias("most"), F.explode("deep").alias("x"))
+    deep = deep.select("set", F.col("x.tree").alias("tree"), F.least("x.deep", "most").alias("depth"))
+    cut = written(ways.join(shuffled(deep), ["set", "tree", "depth"]).select("node").distinct(), "cut")
+    # A leaf is the first node on the way that any set is cut at.
+    ends = ways.join(shuffled(_salted(cut)), ["node", "salt"]).groupBy("set", "tree").agg(F.min(F.struct("depth", "node", "size")).alias("leaf"))
+    return few.union(ends.select("set", "leaf.node", "leaf.size").where("size > 1"))
+
+
+def _candidates(sets: DataFrame, trees: int, k: int, threshold: float, recall: float) -> DataFrame:
     """(a, b): edges that join the sets of each family."""
-    label = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.expr("sig").substr(t * F.lit(4 * k) + 1, F.lit(4 * k))))
-    nodes = sets.select("set", F.explode(label).alias("node"))
-    crowded = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    under = nodes.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(_SALTS)).cast("int")).join(crowded, ["node", "salt"])
-    under = under.select("set", _blocks(F.col("node"), F.ceil(F.col("size") / NODE_BLOCK), F.col("set")).alias("p")).select("set", "p.*")
+    leaves = _leaves(sets, trees, k, threshold, recall)
+    under = leaves.select("set", _blocks(F.col("node"), F.ceil(F.col("size") / NODE_BLOCK), F.col("set")).alias("p")).select("set", "p.*")
     # One byte of each value is enough to tell how alike two signatures are.
     dealt = under.join(sets.select("set", "sig"), "set")
-    least = trees * k * threshold - SLACK * (trees * k * threshold * (1 - threshold)) ** 0.5
+    values = trees * LONGEST
+    least = values * threshold - SLACK * (values * threshold * (1 - threshold)) ** 0.5
     parts = 4 * shuffle_partitions(sets.sparkSession)
 
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +179,7 @@ def _candidates(sets: DataFrame, trees: int, k: int, threshold: float) -> DataFr
             if m < 2:
                 continue
             keys = group.column("set").to_pylist()
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(m, -1).astype(np.uint8)
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(m, -1).astype(np.uint8)
             links = Links(m)
             for i in range(m - 1):
                 near = np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= least)
@@ -217,10 +264,10 @@ def similar(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, t
     it is alone in its class, with no links. Equal rows count each.
     """
     k = depth(threshold, trees, recall=recall)
-    every = written(_sets(docs, text, trees, k), "sets")
+    every = written(_sets(docs, text, trees), "sets")
     sets = every.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("rep"), F.min("doc_id").alias("copy_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = written(sets, "distinct")
-    found = written(_verified(docs, text, sets, _candidates(sets, trees, k, threshold), threshold), "links")
+    found = written(_verified(docs, text, sets, _candidates(sets, trees, k, threshold, recall), threshold), "links")
     classes = components(found.where("set != peer").select(F.col("set").alias("a"), F.col("peer").alias("b")))
     links = found.groupBy("set").agg(F.sum("links").alias("links")).where("links > 0")
     known = sets.select("set", "copies", "copy_id").join(links, "set", "left").where("copies > 1 or links > 0")

@@ -1,9 +1,12 @@
+import re
+import zlib
+
 import numpy as np
 import pytest
 from conftest_llm import docs_frame
 
-from braidwin.llm import quality, toxicity
-from braidwin.llm.common import held_out, table
+from braidwin.llm import quality, queries, toxicity
+from braidwin.llm.common import held_out, span_hashes, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,3 +72,38 @@ def test_features_do_not_depend_on_the_neighbours():
     for i, t in enumerate(texts):
         alone, _ = quality.features([t])
         assert sorted(whole[of == i].tolist()) == sorted(alone.tolist())
+
+
+def plain_logistic(z):
+    return 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_quality_scores_by_a_plain_sum(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    weight, bias = quality.fit(docs, labels)
+    rows = {r.doc_id: r for r in queries.op1_quality_classifier(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for doc, text in texts.items():
+        ids = quality.features([text])[0].tolist()
+        score = plain_logistic(sum(float(weight[i]) for i in ids) / max(1, len(ids)) + bias)
+        assert abs(rows[doc].score - score) < 1e-6 and rows[doc].predicted == (rows[doc].score >= 0.5)
+        assert rows[doc].held_out == (zlib.crc32(str(doc).encode()) % 3 == 1)
+
+
+def test_toxicity_scores_by_all_pairs_of_terms(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = toxicity.fit(docs, labels)
+    at = {int(h): i for i, h in enumerate(model.terms)}
+    rows = {r.doc_id: r for r in queries.op8_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())))
+        hashed = {hash_of(w) for w in words} | {int(toxicity.mix(np.array([hash_of(w[:n]) + n], np.uint64))[0]) for w in words for n in toxicity.STEMS if len(w) > n}
+        known = sorted(at[h] for h in hashed if h in at)
+        z = model.b + sum(float(model.w[i]) for i in known)
+        z += sum(float(model.v[i] @ model.v[j]) for n, i in enumerate(known) for j in known[:n])
+        assert abs(rows[r.doc_id].score - plain_logistic(z)) < 1e-6 and rows[r.doc_id].predicted == (rows[r.doc_id].score >= 0.7)
+
+
+def hash_of(word):
+    return int(span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])

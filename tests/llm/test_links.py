@@ -86,6 +86,58 @@ def test_the_prefix_is_shortened_until_the_recall_is_reached():
         assert 1 - (1 - 0.8**k) ** 16 >= recall and (k == 8 or 1 - (1 - 0.8 ** (k + 1)) ** 16 < recall)
 
 
+def trie_leaves(labels, k, longest, block, threshold, recall):
+    """{members of a leaf} of all trees, by the rule and nothing else: labels[set][tree] is a tuple of values."""
+    trees = len(labels[0])
+    size = {}
+    for own in labels:
+        for t, x in enumerate(own):
+            for d in range(k, longest + 1):
+                size[t, x[:d]] = size.get((t, x[:d]), 0) + 1
+    cut = set()
+    for own in labels:
+        crowded = {t: x for t, x in enumerate(own) if size[t, x[:k]] > block}
+        deep = {t: next((d for d in range(k, longest + 1) if size[t, x[:d]] <= block), longest) for t, x in crowded.items()}
+        most = k
+        for d in range(k, longest + 1):
+            missed = (1 - threshold**k) ** (trees - len(deep))
+            for at in deep.values():
+                missed *= 1 - threshold ** min(at, d)
+            most = d if missed <= 1 - recall else most
+        cut |= {(t, x[: min(deep.get(t, k), most)]) for t, x in enumerate(own)}
+    leaves = {}
+    for i, own in enumerate(labels):
+        for t, x in enumerate(own):
+            end = next(d for d in range(k, longest + 1) if (t, x[:d]) in cut)
+            leaves.setdefault((t, x[:end]), set()).add(i)
+    return sorted(sorted(v) for v in leaves.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("recall,kinds", [(0.999, 2), (0.97, 2), (0.9, 2), (0.5, 2), (0.9, 1), (0.9, 40)])
+def test_leaves_of_the_forest(spark, monkeypatch, recall, kinds):
+    monkeypatch.setattr(ngram_join, "NODE_BLOCK", 5)
+    rng = np.random.default_rng(8)
+    sigs = rng.integers(0, kinds, (90, 6, ngram_join.LONGEST)).astype("<u2")
+    sigs[:25] = np.where(rng.random((25, 6, ngram_join.LONGEST)) < 0.9, sigs[0], sigs[:25])  # alike in most trees
+    frame = spark.createDataFrame([(bytes([i]), x.tobytes()) for i, x in enumerate(sigs)], "set binary, sig binary")
+    found = {}
+    for r in ngram_join._leaves(frame, 6, 2, 0.8, recall).collect():
+        found.setdefault((r.node, r.size), []).append(r.set[0])
+    assert all(size == len(sets) for (_, size), sets in found.items())
+    labels = [[tuple(t.tolist()) for t in x] for x in sigs]
+    assert sorted(sorted(x) for x in found.values()) == trie_leaves(labels, 2, ngram_join.LONGEST, 5, 0.8, recall)
+
+
+def test_crowded_nodes_of_other_texts_are_told_apart():
+    """Of sets that share their first values in three trees, the leaves there hold few; what is alike in all trees stays together."""
+    rng = np.random.default_rng(9)
+    labels = [[tuple(x) for x in t] for t in rng.integers(0, 50, (60, 16, 8)).tolist()]
+    labels = [[(1, 1, 1, 1, *x[4:]) if t < 3 else x for t, x in enumerate(own)] for own in labels]
+    family = [[(2,) * 8] * 16] * 60
+    leaves = trie_leaves(labels + family, 4, 8, 10, 0.8, 0.999)
+    assert max(len([i for i in x if i < 60]) for x in leaves) <= 10 and sum(x == list(range(60, 120)) for x in leaves) == 16
+
+
 def test_links_of_odd_rows(spark, odd):
     rows = ngram_join.similar(odd).collect()
     assert len(rows) == odd.count()
