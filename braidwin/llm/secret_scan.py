@@ -9,6 +9,8 @@ values that only look like keys (long, with letters and digits) are reported whe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +27,50 @@ GENERIC = "generic"
 #: A value is a widely copied example from so many distinct owners on, or with more than one owner from so many repositories on.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 _SALTS = 8
+#: Values of an array that are folded together.
+_BLOCK = 128
 _SPAN = "struct<start:bigint,kind:int,end:bigint,secret:bigint>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = _BLOCK) -> Column:
+    """The running total of an array of longs from 0 on, by an associative ``combine``.
+
+    A fold copies what it has so far, so it is made for blocks of the array, and for the blocks' totals.
+    """
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def fold(some: Column) -> Column:
+        return F.aggregate(some, none, lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(combine(F.element_at(acc, -1), x))))
+
+    def joined_blocks(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), fold(F.transform(blocks, lambda x: F.element_at(x, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda x, at: F.transform(x, lambda v: combine(at, v))))
+
+    def by_blocks(whole: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / block).cast("int"))
+        blocks = F.transform(starts, lambda i: fold(F.slice(whole, i * block + 1, F.lit(block))))
+        return F.when(F.size(whole) == 0, none).otherwise(once(blocks, joined_blocks))
+
+    return once(values, by_blocks)
+
+
 def _found(text: Column, n: int, kind: tuple) -> Column:
     """Spans of one kind: start and end in code points, hash of the value."""
     _, pattern, group, least, test = kind
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["w"]).alias("size"), m["v"].alias("value")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(n).alias("kind"), end.alias("end"), F.xxhash64(x["value"]).alias("secret"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: (x["gap"] + x["size"]).cast("long")), lambda a, x: a + x)
+        each = F.filter(F.zip_with(parts, ends, lambda x, end: F.struct(x.alias("x"), end.alias("end"))), lambda y: F.length(y["x"]["value"]) >= least)
+        return F.transform(each, lambda y: F.struct((y["end"] - y["x"]["size"]).alias("start"), F.lit(n).alias("kind"), y["end"].alias("end"), F.xxhash64(y["x"]["value"]).alias("secret")))
 
-    return F.when(text.rlike(test), F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    return F.when(text.rlike(test), once(parts, spans)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
 def _generic(text: Column, base: Column) -> Column:
@@ -103,13 +132,25 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
 
 def redacted(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
     """The text with every span replaced by ``mark``, touching or overlapping ones by one."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.when((x["start"] < acc["at"]) | ((x["start"] == acc["at"]) & (acc["at"] > 0)), F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))).otherwise(F.struct(more.alias("out"), x["end"].alias("at")))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    def pieces(x: Column) -> Column:
+        """``x``: the sorted spans, the greatest end up to each of them, and the text with four bytes a code point."""
+        spans, ends, data = x["spans"], x["ends"], x["data"]
+        first = lambda i: (i == 0) | (F.get(spans, i)["start"] > F.get(ends, i - 1))
+        last = lambda i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] > F.get(ends, i))
+        begins = F.transform(F.filter(spans, lambda _, i: first(i)), lambda s: s["start"])
+        gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.filter(ends, lambda _, i: last(i))), F.concat(begins, F.array(F.octet_length(data).cast("long"))), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+        # Cut as bytes, which takes the time of what is cut, and joined as characters of one byte each.
+        each = F.transform(gaps, lambda g: F.decode(F.substring(data, (g["lo"] * 4 + 1).cast("int"), F.greatest(F.lit(0), F.least(g["hi"], F.lit(1 << 28)) - g["lo"]).cast("int") * 4), "ISO-8859-1"))
+        between = mark.encode("utf-32-be").decode("latin-1")
+        # The byte order mark in front is the decoder's; one that the text begins with stays.
+        return F.decode(F.encode(F.concat(F.lit("\x00\x00\u00fe\u00ff"), F.array_join(each, between)), "ISO-8859-1"), "UTF-32")
+
+    def merged(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return once(F.struct(spans.alias("spans"), ends.alias("ends"), F.encode(text, "UTF-32").alias("data")), pieces)
+
+    return F.when(F.size(spans) == 0, text).otherwise(once(F.array_sort(spans), merged))
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
