@@ -25,7 +25,7 @@ DIM = 8
 EPOCHS, RATE, BOOST = 8, 0.3, 50
 GRAMS = (3, 4, 5)
 #: Bytes of text whose features are made together: each takes some hundred bytes for a moment.
-FEATURE_BYTES = 1 << 20
+FEATURE_BYTES = 1 << 18
 #: At most so many labelled rows of each class are learned from, the first in the order of a hash of doc_id.
 MAX_TRAIN_PER_CLASS = 1200
 #: Bytes of text of a class that are learned from, at most.
