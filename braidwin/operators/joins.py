@@ -55,11 +55,17 @@ def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in COLUMNS], *[c for c in df.columns if c not in COLUMNS])
 
 
-def band(probe: DataFrame, build: DataFrame, p: str, b: str, low: Column, high: Column, length: int) -> DataFrame:
-    """Rows of ``probe`` and ``build`` of equal key, for which low <= the build row's position < high (at most low + length)."""
+def band(probe: DataFrame, build: DataFrame, p: str, b: str, low: Column, high: Column, length: int, copied: str = "probe") -> DataFrame:
+    """Rows of ``probe`` and ``build`` of equal key, for which low <= the build row's position < high (at most low + length).
+
+    A range touches two buckets: either a probing row is copied to both, or (``copied="build"``) it goes to the first, and
+    every build row also to the bucket before its own. The pairs are the same; the shorter side should be the one that is copied.
+    """
     ranged = _named(probe.withColumns({"_low": F.greatest(low, F.lit(0)), "_high": high}).where((F.col("_high") > F.col("_low")) & F.col("key").isNotNull()), p)
-    ranged = ranged.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / length), F.floor((F.col("_high") - 1) / length))))
-    other = _named(build, b).withColumn("_bucket_b", F.floor(F.col(f"{b}_pos") / length))
+    first, last = F.floor(F.col("_low") / length), F.floor((F.col("_high") - 1) / length)
+    other, own = _named(build.where(F.col("key").isNotNull()), b), F.floor(F.col(f"{b}_pos") / length)
+    ranged = ranged.withColumn("_bucket", F.explode(F.sequence(first, last)) if copied == "probe" else first)
+    other = other.withColumn("_bucket_b", own if copied == "probe" else F.explode(F.array(own - 1, own)))
     on = (F.col(f"{p}_key") == F.col(f"{b}_key")) & (F.col("_bucket") == F.col("_bucket_b")) & (F.col(f"{b}_pos") >= F.col("_low")) & (F.col(f"{b}_pos") < F.col("_high"))
     return ranged.join(other, on).drop("_bucket", "_bucket_b", "_low", "_high")
 
@@ -67,28 +73,39 @@ def band(probe: DataFrame, build: DataFrame, p: str, b: str, low: Column, high:
 PAIR_COLUMNS = [f"{side}_{c}" for side in "rs" for c in COLUMNS[:3]] + ["r_pos", "s_pos"]
 
 
-def eager(r: DataFrame, s: DataFrame, window: tuple[int, int], prefill: tuple[int, int] | None = None) -> DataFrame:
-    """Tuple at a time, in the order of time (of equal times S first): each new row joins the other stream's last ``window`` rows."""
+def eager(r: DataFrame, s: DataFrame, window: tuple[int, int], prefill: tuple[int, int] | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Tuple at a time, in the order of time (of equal times S first): each new row joins the other stream's last ``window`` rows.
+
+    ``rows``: the streams' lengths, where counting these would be dear.
+    """
     (wr, ws), (pr, ps) = window, prefill or window
     if min(wr, ws) < 1:
         raise ValueError("windows must be positive")
+    n_r, n_s = rows or (r.count(), s.count())
     rr, ss = merged_counts(r, s)
     rr = rr.withColumn("ns", F.greatest("ns", F.lit(ps))).where(F.col("pos") >= pr)
     ss = ss.withColumn("nr", F.greatest("nr", F.lit(pr))).where(F.col("pos") >= ps)
-    new_r = band(rr, s, "r", "s", F.col("ns") - ws, F.col("ns"), ws).select(PAIR_COLUMNS)
-    new_s = band(ss, r, "s", "r", F.col("nr") - wr, F.col("nr"), wr).select(PAIR_COLUMNS)
+    by_r, by_s = ("probe", "build") if n_r <= n_s else ("build", "probe")
+    new_r = band(rr, s, "r", "s", F.col("ns") - ws, F.col("ns"), ws, by_r).select(PAIR_COLUMNS)
+    new_s = band(ss, r, "s", "r", F.col("nr") - wr, F.col("nr"), wr, by_s).select(PAIR_COLUMNS)
     return new_r.unionByName(new_s)
 
 
 def delta(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> DataFrame:
     """Batch by batch, in lock-step by count: the new rows of each stream join the other's window and new rows; every pair once."""
     a, b = sides(r, s, window, batch)
+    return delta_of(r, s, r, s, a, b)
+
+
+def delta_of(new_r: DataFrame, new_s: DataFrame, r: DataFrame, s: DataFrame, a: Side, b: Side) -> DataFrame:
+    """The pairs of ``delta`` for the batches of ``new_r`` and ``new_s``, which are among ``r`` and ``s``; these need no rows but the new ones and the windows before."""
     k = F.col("k")
-    rr = r.withColumn("k", a.batch_of(F.col("pos"))).where(k >= 0)
-    ss = s.withColumn("k", b.batch_of(F.col("pos"))).where(k >= 0)
+    rr = new_r.withColumn("k", a.batch_of(F.col("pos"))).where(k >= 0)
+    ss = new_s.withColumn("k", b.batch_of(F.col("pos"))).where(k >= 0)
     # A row joins what has come by the end of its batch; pairs of one batch come from the first join alone.
-    by_r = band(rr, s, "r", "s", b.low(k), F.least(b.filled(k) + b.batch, F.lit(b.rows)), b.window + b.batch)
-    by_s = band(ss, r, "s", "r", a.low(k), a.filled(k), a.window)
+    of_r, of_s = ("probe", "build") if a.rows <= b.rows else ("build", "probe")
+    by_r = band(rr, s, "r", "s", b.low(k), F.least(b.filled(k) + b.batch, F.lit(b.rows)), b.window + b.batch, of_r)
+    by_s = band(ss, r, "s", "r", a.low(k), a.filled(k), a.window, of_s)
     return by_r.select("k", *PAIR_COLUMNS).unionByName(by_s.select("k", *PAIR_COLUMNS))
 
 

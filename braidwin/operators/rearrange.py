@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.operators.position import range_of, running, with_pos
+from braidwin.operators.position import hash_range, range_of, running, with_pos
 
 
 def expand(df: DataFrame, weight: str) -> DataFrame:
@@ -54,7 +54,7 @@ def compact_stable(df: DataFrame, mark: Column, order: Sequence[str]) -> DataFra
 def shuffled(df: DataFrame, seed: int, unique: Sequence[str], name: str = "place") -> DataFrame:
     """``df`` with a place that is a random permutation of 0..n-1, the same for the same seed and rows."""
     lot = df.withColumn("_lot", F.xxhash64(F.lit(seed), *unique))
-    return with_pos(lot, ["_lot", *unique], name=name).drop("_lot")
+    return with_pos(lot, ["_lot", *unique], hash_range(lot, "_lot"), name).drop("_lot")
 
 
 def reseated(df: DataFrame, columns: Sequence[str], seed: int, pos: str = "pos") -> DataFrame:

@@ -89,10 +89,12 @@ def run(r: DataFrame, s: DataFrame | None, config: JoinConfig) -> DataFrame:
     if alg.fk:
         # Two rows of a key matter if some window and batch can have both.
         r = fk.require_unique(r, config.r_window + max(config.r_batch, 1), config.duplicates)
+    rows = None
     if alg.encrypted:
+        rows = (r.count(), s.count())
         r, s = encrypted(r), encrypted(s)
     if alg.mode == "eager":
-        return joins.eager(r, s, config.window, (config.r_window + alg.extra_prefill, config.s_window + alg.extra_prefill))
+        return joins.eager(r, s, config.window, (config.r_window + alg.extra_prefill, config.s_window + alg.extra_prefill), rows)
     return {"delta": joins.delta, "rect": joins.rect, "snapshot": joins.snapshot}[alg.mode](r, s, config.window, config.batch)
 
 

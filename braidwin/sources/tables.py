@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwin.functions.scalar import time_ns
-from braidwin.operators.position import with_pos
+from braidwin.operators.position import hash_range, with_pos
 from braidwin.sources.generators import arrival_times
 
 
@@ -30,7 +30,8 @@ def read_keys(spark: SparkSession, path: str, rate: int, seed: int = 1) -> DataF
     Lines that are no positive integer are left out.
     """
     keys = spark.read.text(path).select(F.expr("try_cast(trim(value) as bigint)").alias("key"), F.monotonically_increasing_id().alias("_line")).where("key > 0")
-    lots = with_pos(keys.withColumn("_lot", F.xxhash64(F.lit(seed), "_line")), ["_lot", "_line"])
+    lots = keys.withColumn("_lot", F.xxhash64(F.lit(seed), "_line"))
+    lots = with_pos(lots, ["_lot", "_line"], hash_range(lots, "_lot"))
     return arrival_times(lots.select("key", F.col("key").alias("payload"), "pos"), rate, seed)
 
 

@@ -111,3 +111,22 @@ def test_a_key_in_several_stretches_of_positions(spark):
     assert sorted(x.pos for x in fk.duplicate_keys(df, 6).collect()) == [65_535, 65_536, 65_539, 131_072]
     assert sorted(x.pos for x in fk.require_unique(df, 6, "latest").collect()) == [0, 65_539, 131_072, 131_080, 400_000]
     assert [x.pos for x in fk.require_unique(df, duplicates="latest").collect()] == [400_000]
+
+
+def test_a_count_of_positions_needs_neither_shuffle_nor_window_of_the_rows(spark):
+    df = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    plan = position.with_pos(df, ["a", "b"]).groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_the_range_of_a_value_is_found_by_bisection(spark):
+    rows = spark.createDataFrame([(None,), *[(x,) for x in range(-5, 40)]], "v int")
+    for cuts in ([3], [0, 10, 20], list(range(0, 30, 2)), list(range(17))):
+        known = F.array(*[F.lit(c) for c in cuts])
+        found = rows.select("v", position._not_above(known, len(cuts), F.col("v")).alias("n")).collect()
+        assert all(x.n == sum(c <= x.v for c in cuts) for x in found if x.v is not None)
+    # Per row some log2 of the ranges, not all of them.
+    df = spark.range(5000).withColumn("v", F.col("id") * 3)
+    assert "filter(" not in df.select(position.range_of(df, "v", 100))._jdf.queryExecution().analyzed().toString()
+    found = df.select("v", position.range_of(df, "v", 100).alias("n")).groupBy("n").agg(F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("n").collect()
+    assert len(found) == 100 and max(x.rows for x in found) < 80 and all(a.hi < b.lo for a, b in zip(found, found[1:]))

@@ -110,3 +110,13 @@ def test_padding(spark):
     assert by_k[4] == (8 + 2) + (8 + 0) + (0 + 2)
     empty = padding.pad(joins.delta(r, s, (20, 30), (4, 5)), 0, size)
     assert empty.count() == 0
+
+
+def test_either_side_of_a_band_may_be_copied(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    r, s = frame(spark, random_stream(rng, 60, 3)), frame(spark, random_stream(rng, 70, 3))
+    found = {c: pairs(joins.band(r, s, "r", "s", F.col("pos") - 7, F.col("pos") + 4, 11, c)) for c in ("probe", "build")}
+    rr, ss = r.select("pos", "key").collect(), s.select("pos", "key").collect()
+    assert found["probe"] == found["build"] == sorted((a.pos, b.pos) for a in rr for b in ss if a.key is not None and a.key == b.key and a.pos - 7 <= b.pos < a.pos + 4)
