@@ -356,16 +356,17 @@ ALL["shuffle_keys"] = (lambda spark, d: rearrange.reseated(orders(spark, d), ["k
 
 
 def stream_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Clicks and purchases as a file stream: the prefill, then a trigger for each batch of 500 rows a side."""
+    """Clicks and purchases as a file stream: the prefill, then triggers of one or more batches of 500 rows a side."""
     r, s = clicks(spark, d), purchases(spark, d)
     window, batch = EW, (500, 500)
     side_r, side_s = joins.sides(r, s, window, batch)
-    cuts = [(window[0] + k * batch[0], window[1] + k * batch[1]) for k in range(max(side_r.batches, side_s.batches))]
+    n = max(side_r.batches, side_s.batches)
+    cuts = [(window[0] + k * batch[0], window[1] + k * batch[1]) for k in range(0, n, batches.batches_a_trigger(n, max(batch)))]
     at = batches.scratch(spark)
-    join = batches.BatchJoin(f"{at}/out", f"{at}/state", window, "delta")
+    join = batches.BatchJoin(f"{at}/out", f"{at}/state", window, "delta", batch)
     stream_ = batches.as_files(r, s, cuts, f"{at}/in")
     stream_.writeStream.option("checkpointLocation", f"{at}/checkpoint").foreachBatch(join).trigger(availableNow=True).start().awaitTermination()
-    return batches.read_result(spark, f"{at}/out").withColumn("k", F.col("k") - 1).select(BATCH)
+    return batches.read_result(spark, f"{at}/out").select(BATCH)
 
 
 ALL["stream_delta"] = stream_delta, sql_delta("clicks", "purchases", EW, (500, 500))
@@ -375,9 +376,12 @@ def stream_eager(spark: SparkSession, d: str) -> DataFrame:
     """Clicks and purchases as a file stream, joined tuple by tuple: the prefill, then all that came up to some times, then the rest."""
     r, s = clicks(spark, d), purchases(spark, d)
     rr, _ = position.merged_counts(r, s)
-    cuts = [EW, *((x.pos, max(x.ns, EW[1])) for x in rr.where("pos % 700 = 0 and pos > 64").select("pos", "ns").orderBy("pos").collect())]
+    step = 700 * batches.batches_a_trigger(-(-r.count() // 700), 700)
+    cuts = [EW, *((x.pos, max(x.ns, EW[1])) for x in rr.where(f"pos % {step} = 0 and pos > 64").select("pos", "ns").orderBy("pos").collect())]
     at = batches.scratch(spark)
-    result = eager_stream(batches.as_files(r, s, cuts, f"{at}/in"), EW)
+    own = spark.newSession()  # the state is one group: other partitions would only start tasks without rows, in every trigger
+    own.conf.set("spark.sql.shuffle.partitions", "1")
+    result = eager_stream(batches.as_files(r, s, cuts, f"{at}/in", own), EW)
     result.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").select(OUT)
 

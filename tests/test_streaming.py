@@ -4,7 +4,7 @@ from helpers import frame, random_stream
 from simulator import by_batch, eager
 
 from braidwin.operators import joins
-from braidwin.streaming.batches import STREAM, BatchJoin, read_result
+from braidwin.streaming.batches import STREAM, BatchJoin, as_files, batches_a_trigger, read_result
 from braidwin.streaming.eager import eager_stream
 
 
@@ -76,3 +76,22 @@ def test_eager_stream_equals_replay(spark, tmp_path):
     query = eager_stream(files(spark, tmp_path / "in", triggers), window).writeStream.format("memory").queryName("eager_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((x.r_pos, x.s_pos) for x in spark.table("eager_out").collect()) == sorted(eager(r, s, window))
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_a_trigger_of_several_batches_equals_the_replay(spark, tmp_path, together):
+    rng = np.random.default_rng(6)
+    r, s, window, batch = random_stream(rng, 40, 4), random_stream(rng, 90, 4), (6, 8), (5, 9)
+    cuts = [(window[0] + k * batch[0], window[1] + k * batch[1]) for k in range(0, 10, together)]
+    stream = as_files(frame(spark, r), frame(spark, s), cuts, str(tmp_path / "in"))
+    join = BatchJoin(str(tmp_path / "out"), str(tmp_path / "state"), window, "delta", batch)
+    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(join).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == len(cuts) + 1
+    assert sorted((x.k, x.r_pos, x.s_pos) for x in read_result(spark, str(tmp_path / "out")).collect()) == sorted(by_batch(r, s, window, batch, "delta"))
+
+
+def test_triggers_do_not_grow_with_the_batches():
+    assert [batches_a_trigger(n, 500) for n in (1, 8, 9, 240, 2400, 10**6)] == [1, 1, 2, 30, 300, 1000]
+    with pytest.raises(ValueError):
+        BatchJoin("o", "s", (1, 1), "rect", (1, 1))
