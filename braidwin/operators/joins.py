@@ -94,7 +94,25 @@ def eager(r: DataFrame, s: DataFrame, window: tuple[int, int], prefill: tuple[in
 def delta(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> DataFrame:
     """Batch by batch, in lock-step by count: the new rows of each stream join the other's window and new rows; every pair once."""
     a, b = sides(r, s, window, batch)
-    return delta_of(r, s, r, s, a, b)
+    k = F.greatest("_k", "_k_b").alias("k")
+    if a.batches < b.batches:
+        return _lifelong(s, r, "s", "r", b, a).select(k, *PAIR_COLUMNS)
+    return _lifelong(r, s, "r", "s", a, b).select(k, *PAIR_COLUMNS)
+
+
+def _lifelong(probe: DataFrame, build: DataFrame, p: str, b: str, a: Side, o: Side) -> DataFrame:
+    """The pairs of ``delta`` in one join, with _k and _k_b, the batches of both rows.
+
+    A probing row joins the other stream from the window before its batch, or from the first batch on if it fills the window
+    itself, to the end of the last batch that has it in its window: one range of positions. The probing stream must not have
+    fewer batches than the other. Then this range is bounded for the rows too that stay in its window to the end.
+    """
+    pos = F.col("pos")
+    own = probe.withColumn("_k", a.batch_of(pos))
+    low = F.when(F.col("_k") < 0, o.window).otherwise(o.low(F.greatest("_k", F.lit(0))))
+    high = F.when(pos >= a.rows - a.window, o.rows).otherwise(F.least(o.window + (F.floor(pos / a.batch) + 1) * o.batch, F.lit(o.rows)))
+    length = o.window + o.batch * (-(-a.window // a.batch) + 1)
+    return band(own, build.withColumn("_k_b", o.batch_of(pos)), p, b, low, high, length, "probe" if a.rows <= o.rows else "build")
 
 
 def delta_of(new_r: DataFrame, new_s: DataFrame, r: DataFrame, s: DataFrame, a: Side, b: Side) -> DataFrame:

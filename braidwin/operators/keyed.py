@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwin.operators.position import range_of, running
+from braidwin.operators.position import range_of, ranges_of, running
 
 
 def lookup(df: DataFrame, key, ts) -> DataFrame:
@@ -20,13 +20,13 @@ def key_counts(df: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame) -> DataFrame:
     """``df`` with rank, the number of rows before this one in the order (key, ts, pos). Keys and times must not be null."""
-    return running(df, ["key", "ts", "pos"], {"rank": F.lit(1)}, range_of(df, "key", then="ts")).withColumn("rank", F.col("rank") - 1)
+    return running(df, ["key", "ts", "pos"], {"rank": F.lit(1)}, ranges_of(df, "key", then="ts")[0]).withColumn("rank", F.col("rank") - 1)
 
 
 def rank_of_key(df: DataFrame) -> DataFrame:
     """(key, rank): the number of rows of lesser keys. Counted by key before the running sum."""
     counts = key_counts(df)
-    return running(counts, ["key"], {"upto": F.col("n")}, range_of(counts, "key")).select("key", (F.col("upto") - F.col("n")).alias("rank"))
+    return running(counts, ["key"], {"upto": F.col("n")}, ranges_of(counts, "key")[0]).select("key", (F.col("upto") - F.col("n")).alias("rank"))
 
 
 def successor(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.operators.position import hash_range, range_of, running, with_pos
+from braidwin.operators.position import hash_range, ranges_of, running, with_pos
 
 
 def expand(df: DataFrame, weight: str) -> DataFrame:
@@ -17,7 +17,7 @@ def expand(df: DataFrame, weight: str) -> DataFrame:
 
 def offsets(df: DataFrame, weight: str, order: Sequence[str]) -> DataFrame:
     """``df`` with slot, the sum of the weights before the row in ``order``: where its copies begin after ``expand``."""
-    upto = running(df, list(order), {"slot": F.coalesce(F.col(weight), F.lit(0))}, range_of(df, order[0]))
+    upto = running(df, list(order), {"slot": F.coalesce(F.col(weight), F.lit(0))}, ranges_of(df, order[0])[0])
     return upto.withColumn("slot", F.col("slot") - F.coalesce(F.col(weight), F.lit(0)))
 
 
@@ -46,7 +46,7 @@ def compact(df: DataFrame, mark: Column) -> DataFrame:
 def compact_stable(df: DataFrame, mark: Column, order: Sequence[str]) -> DataFrame:
     """All rows with place: the marked ones first, either kind in ``order``."""
     marked = df.withColumn("_m", F.coalesce(mark, F.lit(False)).cast("int"))
-    counted = running(marked, list(order), {"_front": F.col("_m"), "_back": 1 - F.col("_m")}, range_of(df, order[0]))
+    counted = running(marked, list(order), {"_front": F.col("_m"), "_back": 1 - F.col("_m")}, ranges_of(df, order[0])[0])
     n = marked.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_total"))
     return counted.join(F.broadcast(n)).withColumn("place", F.when(F.col("_m") == 1, F.col("_front") - 1).otherwise(F.col("_total") + F.col("_back") - 1)).drop("_m", "_front", "_back", "_total")
 

@@ -130,3 +130,30 @@ def test_the_range_of_a_value_is_found_by_bisection(spark):
     assert "filter(" not in df.select(position.range_of(df, "v", 100))._jdf.queryExecution().analyzed().toString()
     found = df.select("v", position.range_of(df, "v", 100).alias("n")).groupBy("n").agg(F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("n").collect()
     assert len(found) == 100 and max(x.rows for x in found) < 80 and all(a.hi < b.lo for a, b in zip(found, found[1:]))
+
+
+def test_nothing_looks_for_a_range_after_the_rows_are_dealt(spark):
+    """A filter on positions is pushed down to the window: what it names there is worked out once for each time that it is named."""
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("a"), F.col("id").alias("b"))
+    placed = position.with_pos(df, ["a", "b"])
+    plan = placed.where((F.col("pos") >= 64) & (F.col("pos") < 4000))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Window" in plan
+    assert [x.pos for x in placed.where("pos >= 64").orderBy("a").collect()] == list(range(64, 5000))
+    # Few distinct values of which one fills several ranges, and ranges whose numbers lie far apart.
+    often = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1500).alias("ts"), ((F.col("id") * 7) % 3000).alias("pos"))
+    found = position.ranges_of(often, "ts", 90, "pos")[0]
+    same = found.put(often, "x").withColumn("y", position.range_of(often, "ts", 90, "pos"))
+    assert all(x.x == x.y for x in same.collect())
+    placed = [(x.ts, x.pos) for x in position.with_pos(often, ["ts", "pos"], found, name="place").orderBy("place").collect()]
+    assert placed == sorted(placed)
+
+
+def test_sums_of_merged_ranges_need_no_positions_of_a_stream_without_a_frequent_time(spark):
+    """One time for all of R alone: only its positions are looked at before the result, S's are an error if they are."""
+    r = spark.range(2000).select(F.lit(0).cast("long").alias("ts"), F.col("id").alias("key"), F.col("id").alias("payload"), F.col("id").alias("pos"))
+    s = spark.range(2000).select((F.col("id") + 1).alias("ts"), F.col("id").alias("key"), F.col("id").alias("payload"), F.expr("if(id >= 0, raise_error('read'), id)").cast("long").alias("pos"))
+    left, right = position.merged_counts(r, s)
+    with pytest.raises(Exception, match="read"):
+        right.collect()
+    left, right = position.merged_counts(r, s.withColumn("pos", F.col("key")))
+    assert {x.ns for x in left.collect()} == {0} and {x.nr for x in right.collect()} == {2000}

@@ -120,3 +120,13 @@ def test_either_side_of_a_band_may_be_copied(spark):
     found = {c: pairs(joins.band(r, s, "r", "s", F.col("pos") - 7, F.col("pos") + 4, 11, c)) for c in ("probe", "build")}
     rr, ss = r.select("pos", "key").collect(), s.select("pos", "key").collect()
     assert found["probe"] == found["build"] == sorted((a.pos, b.pos) for a in rr for b in ss if a.key is not None and a.key == b.key and a.pos - 7 <= b.pos < a.pos + 4)
+
+
+@pytest.mark.parametrize("seed,config", [(20, (40, 200, 6, (9, 5), (2, 3))), (21, (200, 40, 6, (5, 9), (1, 7))), (22, (30, 300, 4, (12, 12), (1, 1))), (23, (45, 44, 3, (30, 4), (16, 1)))])
+def test_delta_is_one_join_whichever_stream_ends_first(spark, seed, config):
+    nr, ns, keys, window, batch = config
+    rng = np.random.default_rng(seed)
+    r, s = random_stream(rng, nr, keys), random_stream(rng, ns, keys)
+    found = joins.delta(frame(spark, r), frame(spark, s), window, batch)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert triples(found) == sorted(by_batch(r, s, window, batch, "delta"))
