@@ -11,14 +11,17 @@ frequent key grows with the window, not with the stream.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwin.operators.position import merged_counts
+from braidwin.operators.position import merged
 
 COLUMNS = ("ts", "key", "payload", "pos")
+#: The rows in all windows of a stream are sent to every task if they are no more than this.
+MAX_SENT = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -55,11 +58,12 @@ def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in COLUMNS], *[c for c in df.columns if c not in COLUMNS])
 
 
-def band(probe: DataFrame, build: DataFrame, p: str, b: str, low: Column, high: Column, length: int, copied: str = "probe") -> DataFrame:
+def band(probe: DataFrame, build: DataFrame, p: str, b: str, low: Column, high: Column, length: int, copied: str = "probe", sent: bool = False) -> DataFrame:
     """Rows of ``probe`` and ``build`` of equal key, for which low <= the build row's position < high (at most low + length).
 
     A range touches two buckets: either a probing row is copied to both, or (``copied="build"``) it goes to the first, and
     every build row also to the bucket before its own. The pairs are the same; the shorter side should be the one that is copied.
+    sent: whether ``build`` is so short that it is sent to the tasks whole.
     """
     ranged = _named(probe.withColumns({"_low": F.greatest(low, F.lit(0)), "_high": high}).where((F.col("_high") > F.col("_low")) & F.col("key").isNotNull()), p)
     first, last = F.floor(F.col("_low") / length), F.floor((F.col("_high") - 1) / length)
@@ -67,7 +71,7 @@ def band(probe: DataFrame, build: DataFrame, p: str, b: str, low: Column, high:
     ranged = ranged.withColumn("_bucket", F.explode(F.sequence(first, last)) if copied == "probe" else first)
     other = other.withColumn("_bucket_b", own if copied == "probe" else F.explode(F.array(own - 1, own)))
     on = (F.col(f"{p}_key") == F.col(f"{b}_key")) & (F.col("_bucket") == F.col("_bucket_b")) & (F.col(f"{b}_pos") >= F.col("_low")) & (F.col(f"{b}_pos") < F.col("_high"))
-    return ranged.join(other, on).drop("_bucket", "_bucket_b", "_low", "_high")
+    return ranged.join(F.broadcast(other) if sent else other, on).drop("_bucket", "_bucket_b", "_low", "_high")
 
 
 PAIR_COLUMNS = [f"{side}_{c}" for side in "rs" for c in COLUMNS[:3]] + ["r_pos", "s_pos"]
@@ -82,15 +86,35 @@ def eager(r: DataFrame, s: DataFrame, window: tuple[int, int], prefill: tuple[in
     if min(wr, ws) < 1:
         raise ValueError("windows must be positive")
     n_r, n_s = rows or (r.count(), s.count())
-    rr, ss = merged_counts(r, s)
+    rr, ss, ends = merged(r, s)
     rr = rr.withColumn("ns", F.greatest("ns", F.lit(ps))).where(F.col("pos") >= pr)
     ss = ss.withColumn("nr", F.greatest("nr", F.lit(pr))).where(F.col("pos") >= ps)
     by_r, by_s = ("probe", "build") if n_r <= n_s else ("build", "probe")
-    new_r = band(rr, s, "r", "s", F.col("ns") - ws, F.col("ns"), ws, by_r).select(PAIR_COLUMNS)
-    new_s = band(ss, r, "s", "r", F.col("nr") - wr, F.col("nr"), wr, by_s).select(PAIR_COLUMNS)
+    in_s, in_r = (_reached(s, ends[0], ps, ws), _reached(r, ends[1], pr, wr)) if ends else (None, None)
+    of_r = (s, by_r) if in_s is None else (in_s, "build", True)
+    of_s = (r, by_s) if in_r is None else (in_r, "build", True)
+    new_r = band(rr, of_r[0], "r", "s", F.col("ns") - ws, F.col("ns"), ws, *of_r[1:]).select(PAIR_COLUMNS)
+    new_s = band(ss, of_s[0], "s", "r", F.col("nr") - wr, F.col("nr"), wr, *of_s[1:]).select(PAIR_COLUMNS)
     return new_r.unionByName(new_s)
 
 
+def _reached(df: DataFrame, ends: Iterable[int], least: int, window: int) -> DataFrame | None:
+    """The rows of ``df`` in a window that ends at one of ``ends`` (or at ``least``, for those below it); None if these may be more than ``MAX_SENT``."""
+    spans: list[list[int]] = []
+    for end in sorted({max(end, least) for end in ends}):
+        low = max(end - window, 0)
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = end
+        else:
+            spans.append([low, end])
+    if len(spans) > 64 or sum(high - low for low, high in spans) > MAX_SENT:
+        return None
+    within = F.lit(False)
+    for low, high in spans:
+        within = within | ((F.col("pos") >= low) & (F.col("pos") < high))
+    return df.where(within)
+
+
 def delta(r: DataFrame, s: DataFrame, window: tuple[int, int], batch: tuple[int, int]) -> DataFrame:
     """Batch by batch, in lock-step by count: the new rows of each stream join the other's window and new rows; every pair once."""
     a, b = sides(r, s, window, batch)

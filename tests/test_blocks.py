@@ -157,3 +157,32 @@ def test_sums_of_merged_ranges_need_no_positions_of_a_stream_without_a_frequent_
         right.collect()
     left, right = position.merged_counts(r, s.withColumn("pos", F.col("key")))
     assert {x.ns for x in left.collect()} == {0} and {x.nr for x in right.collect()} == {2000}
+
+
+def test_a_filter_on_positions_is_not_pushed_into_the_steps_that_find_a_range(spark):
+    """Where a row's offset could be null, such a filter asked of every row whether it is, in an expression of 3 ** steps parts."""
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    try:
+        placed = position.with_pos(spark.range(3000).select((F.col("id") * 7 % 3000).alias("a"), F.col("id").alias("b")), ["a", "b"])
+        plan = placed.where((F.col("pos") >= 64) & (F.col("pos") < 900))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CASE WHEN") < 20
+        assert sorted(x.a for x in placed.where("pos >= 2990").collect()) == list(range(2990, 3000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_streams_of_few_times_are_merged_by_a_table_of_these(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    r, s = ([(None if t == 0 else int(t), int(k)) for t, k in zip(sorted(rng.integers(0, 6, n)), rng.integers(0, 9, n))] for n in (150, 260))
+    a, b = frame(spark, r), frame(spark, s).withColumn("payload", F.col("payload").cast("string")).withColumn("key", F.col("key").cast("int"))
+    before = lambda t, u: u is not None and (t is None or t < u)
+    left, right, ends = position.merged(a, b)
+    assert {x.pos: x.ns for x in left.collect()} == {i: sum(not before(t, u) for u, _ in s) for i, (t, _) in enumerate(r)}
+    assert {x.pos: x.nr for x in right.collect()} == {i: sum(before(u, t) for u, _ in r) for i, (t, _) in enumerate(s)}
+    assert ends == ({x.ns for x in left.collect()}, {x.nr for x in right.collect()})
+    assert "Window" not in left._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(position, "MAX_TIMES", 0)
+    by_ranges = position.merged(a, b)
+    assert by_ranges[2] is None
+    for x, y in zip((left, right), by_ranges[:2]):
+        assert x.dtypes == y.dtypes and x.exceptAll(y).count() == y.exceptAll(x).count() == 0

@@ -130,3 +130,22 @@ def test_delta_is_one_join_whichever_stream_ends_first(spark, seed, config):
     found = joins.delta(frame(spark, r), frame(spark, s), window, batch)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
     assert triples(found) == sorted(by_batch(r, s, window, batch, "delta"))
+
+
+@pytest.mark.parametrize("most", [0, 30, 1 << 13])
+def test_eager_with_few_times_equals_a_step_by_step_run(spark, monkeypatch, most):
+    """Of some times' windows no row, some or all are sent to the tasks."""
+    monkeypatch.setattr(joins, "MAX_SENT", most)
+    rng = np.random.default_rng(7)
+    for window, times in (((7, 30), 1), ((5, 9), 4), ((1, 40), 12)):
+        r, s = ([(int(t), int(k)) for t, k in zip(sorted(rng.integers(0, times, n)), rng.integers(0, 6, n))] for n in (120, 200))
+        for extra in (0, 1):
+            prefill = (window[0] + extra, window[1] + extra)
+            assert pairs(joins.eager(frame(spark, r), frame(spark, s), window, prefill)) == sorted(eager(r, s, window, prefill))
+
+
+def test_only_the_windows_of_few_times_are_sent(spark):
+    spans = lambda ends, least, window: sorted(x.pos for x in joins._reached(frame(spark, [(0, 0)] * 60), ends, least, window).collect())
+    assert spans({0, 3, 20, 22}, 8, 4) == [*range(4, 8), *range(16, 22)]
+    assert spans({2}, 1, 9) == [0, 1]
+    assert joins._reached(frame(spark, [(0, 0)]), {10 ** 6}, 1, joins.MAX_SENT + 1) is None
