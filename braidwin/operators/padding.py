@@ -33,6 +33,9 @@ def batch_sizes(result: DataFrame, batches: int, size: Column) -> DataFrame:
 def pad(result: DataFrame, batches: int, size: Column) -> DataFrame:
     """``result`` with is_dummy, and dummies up to ``size`` (an expression of k) for every batch."""
     missing = batch_sizes(result, batches, size).where("dummies > 0")
+    # A row a batch is little, its dummies are not: dealt to all partitions before they are made, which adaptive plans leave so
+    # (by a hash of k: by k itself the rows are dealt already, in partitions that are then put together).
+    missing = missing.repartition(int(result.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("k"))
     dummies = missing.select("k", F.explode(F.sequence(F.lit(1).cast("long"), "dummies")).alias("_n"))
     blank = [F.col("k") if c == "k" else F.lit(None).cast(result.schema[c].dataType).alias(c) for c in result.columns]
     return result.withColumn("is_dummy", F.lit(False)).unionByName(dummies.select(*blank, F.lit(True).alias("is_dummy")))
