@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import frame, random_stream
+from pyspark.sql import functions as F
 from simulator import by_batch, eager
 
 from braidwin.operators import fk, joins, padding
@@ -149,3 +150,24 @@ def test_only_the_windows_of_few_times_are_sent(spark):
     assert spans({0, 3, 20, 22}, 8, 4) == [*range(4, 8), *range(16, 22)]
     assert spans({2}, 1, 9) == [0, 1]
     assert joins._reached(frame(spark, [(0, 0)]), {10 ** 6}, 1, joins.MAX_SENT + 1) is None
+
+
+def test_dummies_are_made_in_all_partitions(spark):
+    """A row a batch is so little that an adaptive plan puts all in one partition: its dummies were one task's work."""
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        result = spark.range(40).select((F.col("id") % 10).alias("k"), F.col("id").alias("r_pos"))
+        padded = padding.pad(result, 100, F.lit(500))
+        made = padded.where("is_dummy").groupBy(F.spark_partition_id()).count().collect()
+        assert len(made) > 30 and sum(x["count"] for x in made) == 100 * 500 - 40
+        assert padding.trim(padded).count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_dummies_are_counted_without_the_rows_that_are_none(spark):
+    result = spark.range(40).select((F.col("id") % 10).alias("k"), F.col("id").alias("r_pos"))
+    counted = padding.count_dummies(padding.pad(result, 100, F.lit(500)))
+    assert counted.first().dummies == 100 * 500 - 40 and counted.dtypes == [("dummies", "bigint")]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Range") == 2
+    assert padding.count_dummies(padding.pad(result.where("k < 0"), 0, F.lit(500))).first().dummies == 0
