@@ -345,7 +345,7 @@ ALL["generate_fk"] = (lambda spark, d: generators.foreign_keys(spark, 5500, 1000
 ALL["generate_uniform"] = (lambda spark, d: _shape(generators.uniform_keys(spark, 20000, 20))), f"SELECT {_GIVEN.format(20000, 20, 1, 20, 20000)}"
 ALL["generate_zipf"] = (lambda spark, d: generators.zipf_keys(spark, 20000, 100, 0.9).groupBy("key").agg(F.count("*").alias("n"))), None
 ALL["generate_spread"] = (lambda spark, d: _shape(generators.spread_keys(spark, 100, 10000))), f"SELECT {_GIVEN.format(100, 100, 1, 9901, 100)}"
-ALL["generate_listed"] = (lambda spark, d: generators.listed_keys(customers(spark, d), 3000).select("key").distinct().join(customers(spark, d).select("key"), "key", "left_anti").agg(F.count("*").alias("strangers"))), "SELECT CAST(0 AS BIGINT) AS strangers"
+ALL["generate_listed"] = (lambda spark, d: _strangers(customers(spark, d))), "SELECT CAST(0 AS BIGINT) AS strangers"
 ALL["generate_repeated"] = (lambda spark, d: generators.repeated_keys(customers(spark, d), 3).groupBy("key").agg(F.count("*").alias("n"))), "SELECT c_custkey AS key, CAST(3 AS BIGINT) AS n FROM customer"
 ALL["generate_repeated_sorted"] = (lambda spark, d: generators.repeated_keys(customers(spark, d), 3, sort=True).select("pos", "key")), "SELECT ROW_NUMBER() OVER (ORDER BY c_custkey, i) - 1 AS pos, c_custkey AS key FROM customer, RANGE(3) t(i)"
 ALL["generate_times"] = (lambda spark, d: rearrange.is_sorted(generators.uniform_keys(spark, 20000, 20, rate=1000), "ts")), "SELECT true AS sorted"
@@ -355,6 +355,10 @@ ALL["throughput_metrics"] = (lambda spark, d: metrics.measured(customers(spark,
 ALL["shuffle_keys"] = (lambda spark, d: rearrange.reseated(orders(spark, d), ["key", "payload"], 3).agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.sum("payload").alias("payloads"), F.count_distinct("pos").alias("places"))), "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS keys, CAST(SUM(o_orderkey) AS BIGINT) AS payloads, COUNT(*) AS places FROM orders"
 
 
+def _strangers(keys: DataFrame) -> DataFrame:
+    return generators.listed_keys(keys, 3000).select("key").distinct().join(keys.select("key"), "key", "left_anti").agg(F.count("*").alias("strangers"))
+
+
 def stream_delta(spark: SparkSession, d: str) -> DataFrame:
     """Clicks and purchases as a file stream: the prefill, then triggers of one or more batches of 500 rows a side."""
     r, s = clicks(spark, d), purchases(spark, d)
