@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from braidwin.operators.position import hash_range, ranges_of, running, with_pos
 
+#: Positions in a range of these.
+STRETCH = 1 << 16
+
 
 def expand(df: DataFrame, weight: str) -> DataFrame:
     """Every row ``weight`` times, with copy from 0; none for a weight that is null or below 1."""
@@ -46,7 +49,9 @@ def compact(df: DataFrame, mark: Column) -> DataFrame:
 def compact_stable(df: DataFrame, mark: Column, order: Sequence[str]) -> DataFrame:
     """All rows with place: the marked ones first, either kind in ``order``."""
     marked = df.withColumn("_m", F.coalesce(mark, F.lit(False)).cast("int"))
-    counted = running(marked, list(order), {"_front": F.col("_m"), "_back": 1 - F.col("_m")}, ranges_of(df, order[0])[0])
+    # Positions have no gaps: ranges of equal width are of equal size, and need no look at the rows, which would make them anew.
+    bucket = F.coalesce(F.floor(F.col("pos") / STRETCH), F.lit(-1)) if order[0] == "pos" else ranges_of(df, order[0])[0]
+    counted = running(marked, list(order), {"_front": F.col("_m"), "_back": 1 - F.col("_m")}, bucket)
     n = marked.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_total"))
     return counted.join(F.broadcast(n)).withColumn("place", F.when(F.col("_m") == 1, F.col("_front") - 1).otherwise(F.col("_total") + F.col("_back") - 1)).drop("_m", "_front", "_back", "_total")
 

@@ -186,3 +186,18 @@ def test_streams_of_few_times_are_merged_by_a_table_of_these(spark, monkeypatch)
     assert by_ranges[2] is None
     for x, y in zip((left, right), by_ranges[:2]):
         assert x.dtypes == y.dtypes and x.exceptAll(y).count() == y.exceptAll(x).count() == 0
+
+
+def test_stable_compaction_by_positions_does_not_look_for_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(65_535, 0), (1, 1), (None, 1), (0, 0), (200_000, 0), (65_536, 1), (65_537, 1)], "pos long, v long")
+    monkeypatch.setattr(rearrange, "ranges_of", None)
+    found = [(x.pos, x.v == 0) for x in rearrange.compact_stable(df, F.col("v") == 0, ["pos"]).orderBy("place").collect()]
+    assert found == [(p, True) for p in (0, 65_535, 200_000)] + [(p, False) for p in (None, 1, 65_536, 65_537)]
+
+
+def test_listed_keys_take_their_positions_from_one_stream(spark, monkeypatch):
+    from braidwin import queries
+
+    made, whole = [], queries.customers
+    monkeypatch.setattr(queries, "customers", lambda *at: made.append(1) or whole(*at))
+    assert queries.ALL["generate_listed"][0](spark, "/root/testdata/sf0.001").first().strangers == 0 and made == [1]
